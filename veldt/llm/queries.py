@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from veldt.llm.common import importable
 from veldt.llm.line_dedup import line_dedup
+from veldt.llm.media import media_columns
 from veldt.llm.mixing import mix_sources
 from veldt.llm.packing import pack_documents
+from veldt.llm.quality_rules import quality_rules
 from veldt.llm.sharding import shard_documents
 from veldt.llm.tokens import token_counts
 
@@ -20,6 +22,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(documents(spark, sf_dir).select("doc_id", "text"), keep_media=False)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -38,13 +44,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(documents(spark, sf_dir).select("doc_id", "lang", "text"))
+    return judged.drop("lang")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mix_sources, op5_token_counts, op7_best_fit_packing, op8_sharding, op10_line_dedup)}
+    return {f.__name__: f for f in (op3_media_columns, op4_mix_sources, op5_token_counts, op7_best_fit_packing, op8_sharding, op9_quality_rules, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
