@@ -12,6 +12,7 @@ from veldt.llm.line_dedup import line_dedup
 from veldt.llm.media import media_columns
 from veldt.llm.mixing import mix_sources
 from veldt.llm.packing import pack_documents
+from veldt.llm.quality_classifier import classify, page_sites
 from veldt.llm.quality_rules import quality_rules
 from veldt.llm.sharding import shard_documents
 from veldt.llm.tokens import token_counts
@@ -22,6 +23,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = page_sites(spark.read.parquet(f"{sf_dir}/pages.parquet").select("url"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return classify(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), labels, sites).drop("lang", "source")
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(documents(spark, sf_dir).select("doc_id", "text"), keep_media=False)
 
@@ -55,7 +62,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_media_columns, op4_mix_sources, op5_token_counts, op7_best_fit_packing, op8_sharding, op9_quality_rules, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_media_columns, op4_mix_sources, op5_token_counts, op7_best_fit_packing, op8_sharding, op9_quality_rules, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
