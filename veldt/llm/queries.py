@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt.llm.common import importable
+from veldt.llm.jaccard import jaccard_components
 from veldt.llm.line_dedup import line_dedup
 from veldt.llm.media import media_columns
 from veldt.llm.mixing import mix_sources
@@ -29,6 +30,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), labels, sites).drop("lang", "source")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir).select("doc_id", "text"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(documents(spark, sf_dir).select("doc_id", "text"), keep_media=False)
 
@@ -62,7 +67,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_media_columns, op4_mix_sources, op5_token_counts, op7_best_fit_packing, op8_sharding, op9_quality_rules, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_jaccard_join, op3_media_columns, op4_mix_sources, op5_token_counts, op7_best_fit_packing, op8_sharding, op9_quality_rules, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
