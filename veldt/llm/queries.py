@@ -16,6 +16,7 @@ from veldt.llm.packing import pack_documents
 from veldt.llm.quality_classifier import classify, page_sites
 from veldt.llm.quality_rules import quality_rules
 from veldt.llm.sharding import shard_documents
+from veldt.llm.suffix_dedup import suffix_dedup
 from veldt.llm.tokens import token_counts
 
 
@@ -47,6 +48,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -67,7 +73,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_jaccard_join, op3_media_columns, op4_mix_sources, op5_token_counts, op7_best_fit_packing, op8_sharding, op9_quality_rules, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_jaccard_join, op3_media_columns, op4_mix_sources, op5_token_counts, op6_suffix_dedup, op7_best_fit_packing, op8_sharding, op9_quality_rules, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
