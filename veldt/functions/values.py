@@ -6,6 +6,7 @@ for them an operator becomes a chain of cases over the kinds that both sides can
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -262,9 +263,26 @@ COMPARE: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
+FLIPPED = {"=": "=", "!=": "!=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
+def _by_day(op: str, a: Value, day: dt.date) -> Value | None:
+    """A datetime column against a constant day, as bounds of the column itself, which reach the files' statistics."""
+    if day == dt.date.max:
+        return None
+    start, after = (F.lit(dt.datetime.combine(d, dt.time())).cast("timestamp_ntz") for d in (day, day + dt.timedelta(1)))
+    x = a.column
+    tests = {"=": (x >= start) & (x < after), "!=": (x < start) | (x >= after), "<": x < start, "<=": x < after, ">": x >= after, ">=": x >= start}
+    return Value(tests[op], "bool")
+
+
 def compare(op: str, a: Value, b: Value) -> Value:
     """Datetimes, then dates, then times, then numbers, then bytes: whatever both sides are."""
     f = COMPARE[op]
+    for x, y, o in ((a, b, op), (b, a, FLIPPED[op])):
+        if x.kind == "datetime" and y.kind == "string" and y.is_const and not D.parse_datetime(y.const) and (day := D.parse_date(y.const)):
+            if found := _by_day(o, x, day):
+                return found
     if "null" in (a.kind, b.kind):
         return Value(F.lit(None).cast("boolean"), "bool")
     if a.kind == b.kind and a.kind not in ("text",):

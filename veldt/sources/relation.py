@@ -34,8 +34,9 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     counts = marked.groupBy(F.shiftright(name, 33).alias("part")).count().collect()  # a row for each partition
     starts, total = [], 0
     for row in sorted(counts, key=lambda r: r["part"]):
-        starts += [F.lit(row["part"]), F.lit(total)]
+        starts.append((row["part"], total))
         total += row["count"]
-    if not starts:
-        return marked
-    return marked.withColumn(name, F.element_at(F.create_map(*starts), F.shiftright(name, 33)) + F.col(name).bitwiseAND((1 << 33) - 1))
+    part, start = f"{name}_part", f"{name}_start"
+    table = df.sparkSession.createDataFrame(starts, f"`{part}` long, `{start}` long")
+    placed = marked.join(F.broadcast(table), F.shiftright(name, 33) == F.col(part))
+    return placed.withColumn(name, F.col(start) + F.col(name).bitwiseAND((1 << 33) - 1)).drop(part, start)
