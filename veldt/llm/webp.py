@@ -83,7 +83,7 @@ def canonical_codes(lengths: list[int]) -> dict[int, int]:
 
 
 class PrefixCode:
-    """A table for 15-bit windows, or one symbol that takes no bits."""
+    """A table for windows as wide as the longest code, or one symbol that takes no bits."""
 
     def __init__(self, lengths: list[int], single: int | None = None):
         used = [s for s, n in enumerate(lengths) if n]
@@ -94,8 +94,9 @@ class PrefixCode:
             return
         if not used or sum(1 << (MAX_CODE_LENGTH - lengths[s]) for s in used) != 1 << MAX_CODE_LENGTH:
             raise ValueError("not a complete prefix code")
-        self.symbols = np.zeros(1 << MAX_CODE_LENGTH, np.uint16)
-        self.lengths = np.zeros(1 << MAX_CODE_LENGTH, np.uint8)
+        self.mask = (1 << max(lengths[s] for s in used)) - 1
+        self.symbols = np.zeros(self.mask + 1, np.uint16)
+        self.lengths = np.zeros(self.mask + 1, np.uint8)
         for s, code in canonical_codes(lengths).items():
             self.symbols[code :: 1 << lengths[s]] = s
             self.lengths[code :: 1 << lengths[s]] = lengths[s]
@@ -103,7 +104,7 @@ class PrefixCode:
     def read(self, bits: BitReader) -> int:
         if self.single is not None:
             return self.single
-        window = bits.peek() & ((1 << MAX_CODE_LENGTH) - 1)
+        window = bits.peek() & self.mask
         bits.read(int(self.lengths[window]))
         return int(self.symbols[window])
 
@@ -261,18 +262,24 @@ def _green_run(bits: BitReader, code: PrefixCode, n: int) -> np.ndarray:
         first = bits.at >> 3
         raw = np.frombuffer(bits.data, np.uint8, min(len(bits.data) - first, (some * MAX_CODE_LENGTH >> 3) + 8), first).astype(np.uint32)
         wide = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
-        windows = ((wide[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << MAX_CODE_LENGTH) - 1)).ravel()
-        steps = code.lengths[windows].tobytes()
-        p, places = bits.at & 7, []
-        put, last = places.append, len(steps) - MAX_CODE_LENGTH
-        for _ in range(some):
-            if p > last:
-                break
-            put(p)
-            p += steps[p]
-        got = code.symbols[windows[np.array(places, np.int64)]]
-        if not len(got):
-            raise ValueError("the stream ends too soon")
+        windows = ((wide[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(code.mask)).ravel()
+        one = code.lengths[windows]
+        two = one + one[np.minimum(np.arange(len(one)) + one, len(one) - 1)]  # the length of two symbols in a row
+        p, steps, places = bits.at & 7, two.tobytes(), []
+        put = places.append
+        try:
+            for _ in range(some >> 1):
+                put(p)
+                p += steps[p]
+            even = np.array(places, np.int64)
+            at = np.empty(some, np.int64)
+            at[: some & ~1 : 2], at[1 : some & ~1 : 2] = even, even + one[even]
+            if some & 1:
+                at[-1] = p
+                p += int(one[p])
+            got = code.symbols[windows[at]]
+        except IndexError:
+            raise ValueError("the stream ends too soon") from None
         out[done : done + len(got)] = got
         done += len(got)
         bits.at = 8 * first + p
@@ -290,7 +297,7 @@ def _read_pixels(bits: BitReader, width: int, height: int, main: bool) -> np.nda
     groups, tile, meta = 1, 0, None
     if main and bits.read(1):
         tile = 2 + bits.read(3)
-        across = -(-width >> tile) if False else (width + (1 << tile) - 1) >> tile
+        across = (width + (1 << tile) - 1) >> tile
         meta = (_read_pixels(bits, across, (height + (1 << tile) - 1) >> tile, False) >> np.uint32(8)) & np.uint32(0xFFFF)
         groups = int(meta.max()) + 1
     cache_size = (1 << cache_bits) if cache_bits else 0
