@@ -17,15 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt.llm import words as W
-from veldt.llm.common import BROADCAST_ROWS, id_key, materialize, small, text_slices
+from veldt.llm.common import id_key, materialize, small, text_slices
 
 #: Shingle counts are summed in 2 to this power buckets; what is sent to the executors has this size for any input.
 ORDER_BITS = 18
-#: Parts of the hash space whose counts the suffix filter compares.
-PARTS = 16
+#: Parts of the hash space whose counts the suffix filter compares, and the most that a part counts (a bound stays one).
+PARTS, PART_MOST = 64, 127
 PIVOT_ROUNDS = 2
 #: Shared prefix shingles (a long each) that may be broadcast.
-SHARED_ROWS = 1_000_000
+SHARED_ROWS = 2_000_000
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -88,12 +88,12 @@ def _prefix_pass(k: int, seed: int, percent: int, order):
                     ranks = counts[(shingles >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
                     size = n - least_overlap(n, percent) + 1
                     first = np.argsort(ranks, kind="stable")[:size]  # ties by hash: the set is sorted
-                    parts = np.bincount((shingles >> np.uint64(60)).astype(np.int64) % PARTS, minlength=PARTS)
+                    parts = np.minimum(np.bincount((shingles & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), PART_MOST).astype(np.int8)
                     rows.append((d1, ids[at + i], n, shingles[first].view(np.int64), parts))
                 if rows:
                     c, rep, n, tokens, parts = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, pa.int64()), pa.array(rep, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))], names=["c", "rep", "n", "tokens", "parts"]
+                        [pa.array(c, pa.int64()), pa.array(rep, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int8()))], names=["c", "rep", "n", "tokens", "parts"]
                     )
 
     return run
@@ -116,13 +116,16 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
-    """Length filter, positional filter and suffix filter for two postings (structs c, n, pos, parts)."""
+    """Length filter and positional filter for two postings (structs c, n, pos)."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    need = _needed(nx, ny, percent)
     length = F.lit(100) * F.least(nx, ny) >= F.lit(percent) * F.greatest(nx, ny)
-    position = F.least(nx - F.col(f"{x}.pos"), ny - F.col(f"{y}.pos")) >= need
-    apart = F.aggregate(F.zip_with(f"{x}.parts", f"{y}.parts", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b)
-    return length & position & (apart <= nx + ny - 2 * need)
+    return length & (F.least(nx - F.col(f"{x}.pos"), ny - F.col(f"{y}.pos")) >= _needed(nx, ny, percent))
+
+
+def _near_enough(percent: int) -> Column:
+    """Suffix filter: the parts of the hash space alone of sets x and y are not too far apart."""
+    apart = F.aggregate(F.zip_with("px", "py", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda a, b: a + b)
+    return apart <= F.col("nx") + F.col("ny") - 2 * _needed(F.col("nx"), F.col("ny"), percent)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -168,24 +171,25 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sums = base.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).toArrow()
     order[sums.column("a").to_numpy()] = sums.column("n").to_numpy()
     ordered = spark.sparkContext.broadcast(order)
-    prefix_type = "c long, rep long, n long, tokens array<long>, parts array<int>"
+    prefix_type = "c long, rep long, n long, tokens array<long>, parts array<byte>"
     once = source.mapInArrow(_prefix_pass(k, seed, percent, ordered), prefix_type)
     prefixes = materialize(once.groupBy("c").agg(*[F.first(x).alias(x) for x in ("rep", "n", "tokens", "parts")]))
     shared = materialize(prefixes.select(F.explode("tokens").alias("t")).groupBy("t").count().where("count > 1").select("t"))
-    posts = prefixes.select("c", "rep", "n", "parts", F.posexplode("tokens").alias("pos", "t")).join(small(shared, shared.count(), SHARED_ROWS), "t")
-    posts = materialize(posts.select("t", "rep", F.struct("c", "n", "pos", "parts").alias("p")))
-    wanted = materialize(posts.select("rep", F.col("p.c").alias("c")).distinct())
-    reps = wanted.select(F.col("rep").alias("id")).distinct()
-    texts = source.join(small(reps, reps.count(), BROADCAST_ROWS), "id", "left_semi").select("t")
-    sets = texts.mapInArrow(_set_pass(k, seed), "c long, shingles array<long>")
-    sets = materialize(sets.join(wanted.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.first("shingles").alias("shingles")))
+    posts = prefixes.select("c", "n", F.posexplode("tokens").alias("pos", "t")).join(small(shared, shared.count(), SHARED_ROWS), "t")
+    posts = materialize(posts.select("t", F.struct("c", "n", "pos").alias("p")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("c").alias("x"), F.col("shingles").alias("sx"))
-        right = sets.select(F.col("c").alias("y"), F.col("shingles").alias("sy"))
-        both = pairs.select("x", "y").distinct().join(right, "y").join(left, "x")
-        common = F.size(F.array_intersect("sx", "sy"))
-        tested = both.select("x", "y", common.alias("common"), (F.size("sx") + F.size("sy")).alias("sum"))
+        """The pairs (x, y) that are linked: each pair once, by the sets of the classes that any pair still has."""
+        of = lambda v: prefixes.select(F.col("c").alias(v), F.col("n").alias(f"n{v}"), F.col("rep").alias(f"r{v}"), F.col("parts").alias(f"p{v}"))
+        near = pairs.distinct().join(of("x"), "x").join(of("y"), "y").where(_near_enough(percent))
+        near = materialize(near.select("x", "y", "rx", "ry"))
+        wanted = materialize(near.select(F.col("x").alias("c"), F.col("rx").alias("rep")).union(near.select("y", "ry")).distinct())
+        reps = wanted.select(F.col("rep").alias("id")).distinct()
+        texts = source.join(small(reps, reps.count()), "id", "left_semi").select("t")
+        sets = texts.mapInArrow(_set_pass(k, seed), "c long, shingles array<long>")
+        sets = materialize(sets.join(wanted.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.first("shingles").alias("shingles")))
+        both = near.join(sets.select(F.col("c").alias("y"), F.col("shingles").alias("sy")), "y").join(sets.select(F.col("c").alias("x"), F.col("shingles").alias("sx")), "x")
+        tested = both.select("x", "y", F.size(F.array_intersect("sx", "sy")).alias("common"), (F.size("sx") + F.size("sy")).alias("sum"))
         return tested.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("sum") - F.col("common"))).select("x", "y")
 
     links = labels = None
@@ -193,8 +197,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         now = posts.select("t", "p", F.col("p.c").alias("comp"))
         if labels is not None:
             now = posts.join(labels.withColumnRenamed("c", "lc"), F.col("p.c") == F.col("lc"), "left").select("t", "p", F.coalesce("comp", "p.c").alias("comp"))
-        pick = F.min if step % 2 == 0 else F.max
-        heads = now.groupBy("t").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), pick(F.struct("comp", "p")).alias("q")).where("low < high")
+        # The pivot has the fewest rare shingles of its own before the shared one, as an original has among its edited
+        # copies; in later rounds the pivot of a component that the hash draws.
+        drawn = F.lit(0) if step == 0 else F.xxhash64(F.lit(step), "comp")
+        pick = F.min(F.struct(drawn.alias("drawn"), F.col("p.pos").alias("pos"), "comp", "p"))
+        heads = now.groupBy("t").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), pick.alias("q")).where("low < high")
         if step < PIVOT_ROUNDS:
             met = now.join(heads.select("t", F.col("q.p").alias("q"), F.col("q.comp").alias("qcomp")), "t").where((F.col("comp") != F.col("qcomp")) & _may_link("p", "q", percent))
         else:
