@@ -192,25 +192,27 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         tested = both.select("x", "y", F.size(F.array_intersect("sx", "sy")).alias("common"), (F.size("sx") + F.size("sy")).alias("sum"))
         return tested.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("sum") - F.col("common"))).select("x", "y")
 
-    links = labels = None
-    for step in range(PIVOT_ROUNDS + 1):
-        now = posts.select("t", "p", F.col("p.c").alias("comp"))
-        if labels is not None:
-            now = posts.join(labels.withColumnRenamed("c", "lc"), F.col("p.c") == F.col("lc"), "left").select("t", "p", F.coalesce("comp", "p.c").alias("comp"))
-        # The pivot has the fewest rare shingles of its own before the shared one, as an original has among its edited
-        # copies; in later rounds the pivot of a component that the hash draws.
-        drawn = F.lit(0) if step == 0 else F.xxhash64(F.lit(step), "comp")
-        pick = F.min(F.struct(drawn.alias("drawn"), F.col("p.pos").alias("pos"), "comp", "p"))
+    # The first pivot of a list has the fewest rare shingles of its own before the shared one, as an original has among
+    # its edited copies. Lists of two are done with that; the others go on.
+    heads = posts.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("p.pos", "p.c", "p.n")).alias("q"))
+    first = posts.join(heads, "t").withColumn("link", (F.col("p.c") != F.col("q.c")) & _may_link("p", "q", percent))
+    first = materialize(first.where((F.col("m") > 2) | F.col("link")))
+    posts = first.where("m > 2").select("t", "p")
+    pair = (F.least("p.c", "q.c").alias("x"), F.greatest("p.c", "q.c").alias("y"))
+    links = materialize(verified(first.where("link").select(*pair)))
+    labels = components(links)
+    for step in range(1, PIVOT_ROUNDS + 1):
+        now = posts.join(labels.withColumnRenamed("c", "lc"), F.col("p.c") == F.col("lc"), "left").select("t", "p", F.coalesce("comp", "p.c").alias("comp"))
+        pick = F.min(F.struct(F.xxhash64(F.lit(step), "comp").alias("drawn"), F.col("p.pos").alias("pos"), "comp", "p"))
         heads = now.groupBy("t").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), pick.alias("q")).where("low < high")
         if step < PIVOT_ROUNDS:
+            # later pivots come from a component that the hash draws
             met = now.join(heads.select("t", F.col("q.p").alias("q"), F.col("q.comp").alias("qcomp")), "t").where((F.col("comp") != F.col("qcomp")) & _may_link("p", "q", percent))
         else:
             alive = now.join(heads.select("t"), "t", "left_semi")
             other = alive.select("t", F.col("p").alias("q"), F.col("comp").alias("qcomp"))
             met = alive.join(other, "t").where((F.col("comp") < F.col("qcomp")) & _may_link("p", "q", percent))
-        found = verified(met.select(F.least("p.c", "q.c").alias("x"), F.greatest("p.c", "q.c").alias("y")))
-        found = materialize(found)
-        links = found if links is None else links.union(found)
+        links = links.union(materialize(verified(met.select(*pair))))
         labels = components(links)
     classes = filled.groupBy("c").agg(F.min("id").alias("least"))
     joined = classes.join(labels.withColumnRenamed("c", "lc"), F.col("c") == F.col("lc"), "left").select("c", "least", F.coalesce("comp", "c").alias("comp"))
