@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tests.llm import cases
+from tests.llm.test_operators import components
 from veldt.llm import quality_classifier as Q
 from veldt.llm.common import importable
 
@@ -92,7 +93,7 @@ def test_pipeline_stages(spark, tmp_path):
             assert sizes[name][0] == sizes[name][1]
         if name == "near_duplicates":
             rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-            assert kept == {c for _, _, c in __import__("tests.llm.test_operators", fromlist=["components"]).components(rows, 5, 80) if c is not None}
+            assert kept == {c for _, _, c in components(rows, 5, 80) if c is not None}
         before = after
     assert sizes["quality"][1] < sizes["quality"][0] and sizes["near_duplicates"][1] < sizes["near_duplicates"][0]
     whole = {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in P.run(spark, "/root/testdata/sf0.001").collect()}
