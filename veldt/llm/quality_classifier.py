@@ -81,14 +81,16 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
     """Weights (the last is the intercept) by Newton steps with a ridge penalty on all but the intercept."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty * w
-        hessian = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
+        gradient, hessian = penalty * w, np.diag(penalty)
+        for at in range(0, len(x), 2048):  # by blocks, so that the driver holds the rows once
+            some = np.hstack([x[at : at + 2048], np.ones((len(x[at : at + 2048]), 1))])
+            p = 1 / (1 + np.exp(-np.clip(some @ w, -30, 30)))
+            gradient += some.T @ (p - y[at : at + 2048])
+            hessian += (some * (p * (1 - p) + 1e-6)[:, None]).T @ some
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-5:
