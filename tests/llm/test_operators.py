@@ -169,6 +169,27 @@ def test_sharding(spark, docs):
     assert sharding.shard_documents(cases.empty(spark)).count() == 0
 
 
+def test_sharding_long_among_small(spark):
+    """Rows behind a very long document, a heavy group of repeated rows and a heavy text keep their place."""
+    tail = (None, "s", 0, "x", 0, "y", "k", "h", "no")
+    rows = [(i, cases.prose(i, 4 + i % 9), *tail) for i in range(6000)] + [(7000 + i, cases.prose(i, 4000 + 9 * i), *tail) for i in range(40)]
+    rows += [(8000, "one row many times", *tail)] * 400 + [(9000 + i, "one text of many ids", *tail) for i in range(400)]
+    got = sharding.shard_documents(cases.frame(spark, rows), ranges=256).collect()
+    assert collections.Counter((r["doc_id"], r["text_crc32"]) for r in got) == collections.Counter((i, zlib.crc32(t.encode())) for i, t, *_ in rows)
+    slots, sums = collections.defaultdict(list), collections.Counter()
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+        sums[r["shard"]] += r["size_"]
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    longest = max(len(t.encode()) + 1 for _, t, *_ in rows)
+    assert max(sums.values()) - sum(sums.values()) / 8 <= longest
+
+
+def test_sharding_middles():
+    for low, high in (((-(2**63), 5), (2**63 - 1, 1)), ((3, -(2**63)), (3, 2**63 - 1)), ((3, 8), (4, 2)), ((7, 1), (7, 2))):
+        assert low < sharding._middle(low, high) <= high
+
+
 def base_counts(t):
     w = cases.WORD.findall(t or "")
     triples = collections.Counter(zip(w, w[1:], w[2:], strict=False))
