@@ -55,6 +55,24 @@ def test_awkward_documents(spark):
     assert Q.classify(frame, none).where("not kept_").count() == 0
 
 
+def test_every_site_of_a_document_counts(spark):
+    """A document at a junk host and at a good one is moved by both, whatever their names."""
+    docs, labels, sites = corpus(spark)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    extra = [(i, cases.prose(77, 80), "en", "s", 0, "x", 0, "y", "k", "h", "no") for i in (1001, 1002, 1003)]
+    scores = []
+    for junk, good in (("junk.example", "zgood.example"), ("znk.example", "agood.example")):
+        rows = [(i, {"junk.example": junk}.get(h, good), p) for i, h, p in sites]
+        rows += [(1001, junk, "p1"), (1001, good, "p1"), (1001, good, "p1"), (1002, junk, "p1"), (1003, good, "p1")]
+        got = Q.classify(cases.frame(spark, docs + extra), known, spark.createDataFrame(rows, "doc_id long, host string, path string")).collect()
+        assert len(got) == len(docs) + 3
+        by_id = {r["doc_id"]: r for r in got if r["doc_id"] > 1000}
+        assert by_id[1003]["bad_score"] < by_id[1001]["bad_score"] < by_id[1002]["bad_score"]
+        assert by_id[1001]["host"] == min(junk, good)
+        scores.append([by_id[i][c] for i in (1001, 1002, 1003) for c in ("bad_score", "toxic_score")])
+    assert scores[0] == pytest.approx(scores[1], rel=1e-6)
+
+
 def test_posteriors_shrink(spark):
     scores = [("a", "a/x", 0.9)] * 400 + [("a", "a/y", 0.1)] * 2 + [("b", "b/x", 0.1)] * 400 + [("c", "c/x", 0.9)]
     rows = {r["path"]: r for r in Q.site_posteriors(spark.createDataFrame(scores, "host string, path string, p double"), "p").collect()}

@@ -3,7 +3,8 @@
 A logistic model on word presence and style is fitted on a bounded sample of the labelled documents and scores every
 document. Grouped sums of those scores give each host, and each path in it, a posterior by empirical Bayes: sparse
 paths shrink toward their host, sparse hosts toward the global mean, with prior strengths estimated from the spread
-between hosts and between paths. A document's log-odds are moved by the posterior of its path without the document.
+between hosts and between paths. A document's log-odds are moved by the posterior of its path without the document; one
+that stands at several sites counts at each of them and is moved by the mean over all.
 """
 
 from __future__ import annotations
@@ -204,38 +205,42 @@ def classify(
 
     sites (id_col, host, path) gives documents their site; those without one have host_cols and path_cols for it. A
     document is kept if both scores are at most the threshold. Null texts are empty; null ids have no label and no site;
-    null hosts and paths are groups of their own; several sites of an id count by the least; repeated rows count each.
-    An empty table gives an empty table; extra columns pass through. Groups are added up before they are shuffled, so a
-    hot host costs no more than others; posteriors are joined by broadcast where they were counted to be few.
+    null hosts and paths are groups of their own; repeated rows count each. Each distinct site of an id counts in the
+    posteriors, and the document is moved by the mean of what each of its sites moves it; the host and path shown are the
+    least. An empty table gives an empty table; extra columns pass through. Groups are added up before they are shuffled,
+    so a hot host costs no more than others; posteriors are joined by broadcast where they were counted to be few.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col, sample_docs=sample_docs)
     others = [c for c in docs.columns if c != text_col]
-    bad_l, toxic_l, sid, host, path, bad, toxic, kept, key = fresh(docs.drop(text_col), "bad_logit", "toxic_logit", "site_id", "host", "path", "bad_score", "toxic_score", "kept", "site_key")
+    bad_l, toxic_l, sid, host, path, bad, toxic, kept, key, row, moved = fresh(
+        docs.drop(text_col), "bad_logit", "toxic_logit", "site_id", "host", "path", "bad_score", "toxic_score", "kept", "site_key", "site_row", "moved_row"
+    )
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others], f"`{bad_l}` double", f"`{toxic_l}` double"])
     source = docs.select(F.col(f"`{text_col}`").cast("string").alias(text_col), *[f"`{c}`" for c in others])
     scored = source.mapInArrow(_scorer(model, others, [bad_l, toxic_l]), schema)
     own = lambda cols: F.concat_ws("/", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in cols if c in others]) if any(c in others for c in cols) else F.lit("")
+    site = lambda h, p: F.struct(h.alias("h"), p.alias("p"))
     if sites is None:
-        scored = scored.withColumns({host: own(host_cols), path: own(path_cols)})
+        scored = scored.withColumn(key, F.array(site(own(host_cols), own(path_cols))))
     else:
-        one = sites.where(sites[id_col].isNotNull()).groupBy(sites[id_col].cast("long").alias(sid)).agg(F.min(F.struct(F.coalesce(sites["host"], F.lit("")).alias("h"), F.coalesce(sites["path"], F.lit("")).alias("p"))).alias(key))
-        scored = scored.join(one, F.col(f"`{id_col}`").cast("long") == F.col(sid), "left")
-        scored = scored.withColumns(
-            {
-                host: F.coalesce(F.col(f"{key}.h"), own(host_cols)),
-                path: F.when(F.col(key).isNotNull(), F.concat_ws("/", f"{key}.h", f"{key}.p")).otherwise(own(path_cols)),
-            }
-        ).drop(key, sid)
-    scored = materialize(scored)
-    out = scored
+        shown = sites.where(sites[id_col].isNotNull()).select(sites[id_col].cast("long").alias(sid), site(F.coalesce(sites["host"], F.lit("")), F.coalesce(sites["path"], F.lit(""))).alias(key))
+        every = shown.distinct().groupBy(sid).agg(F.sort_array(F.collect_list(key)).alias(key))
+        every = every.withColumn(key, F.transform(key, lambda s: site(s["h"], F.concat_ws("/", s["h"], s["p"]))))
+        scored = scored.join(every, F.col(f"`{id_col}`").cast("long") == F.col(sid), "left").drop(sid)
+        scored = scored.withColumn(key, F.coalesce(key, F.array(site(own(host_cols), own(path_cols)))))
+    scored = materialize(scored.withColumn(row, F.monotonically_increasing_id()))
+    moves = scored.select(F.col(row).alias(moved), bad_l, toxic_l, F.explode(key).alias("s")).select(moved, bad_l, toxic_l, F.col("s.h").alias(host), F.col("s.p").alias(path))
+    seen = moves
     for logit, score in ((bad_l, bad), (toxic_l, toxic)):
-        seen = scored.select(F.col(host).alias("host"), F.col(path).alias("path"), _sigmoid(F.col(logit)).alias("p"))
-        table = materialize(site_posteriors(seen, "p")).select(F.struct("*").alias(key))
+        table = materialize(site_posteriors(seen.select(F.col(host).alias("host"), F.col(path).alias("path"), _sigmoid(F.col(logit)).alias("p")), "p")).select(F.struct("*").alias(key))
         g = {c: F.col(f"{key}.{c}") for c in ("host", "path", "n", "total", "host_mean", "strength", "global_mean")}
-        joined = out.join(small(table, table.count()), (F.col(host) == g["host"]) & (F.col(path) == g["path"]))
+        joined = moves.join(small(table, table.count()), (F.col(host) == g["host"]) & (F.col(path) == g["path"]))
         rest = (g["total"] - _sigmoid(F.col(logit)) + g["strength"] * g["host_mean"]) / (g["n"] - 1 + g["strength"])
         move = F.least(F.greatest(_logit(rest) - _logit(g["global_mean"]), F.lit(-SITE_SHIFT)), F.lit(SITE_SHIFT))
-        out = joined.withColumn(score, _sigmoid(F.col(logit) + move)).drop(key)
+        moves = joined.withColumn(score, move).drop(key)
+    moves = moves.groupBy(moved).agg(F.avg(bad).alias(bad), F.avg(toxic).alias(toxic))
+    out = scored.join(moves, F.col(row) == F.col(moved)).withColumns({host: F.col(key)[0]["h"], path: F.col(key)[0]["p"]})
+    out = out.withColumns({score: _sigmoid(F.col(logit) + F.col(score)) for logit, score in ((bad_l, bad), (toxic_l, toxic))})
     out = out.withColumn(kept, (F.col(bad) <= threshold) & (F.col(toxic) <= threshold))
     return out.select(*[f"`{c}`" for c in others], host, path, bad, toxic, kept)
 
