@@ -40,7 +40,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the least id. Documents without words are no copies."""
-    groups = jaccard_components(docs.select("doc_id", "text"), k=5, percent=80)
+    groups = jaccard_components(docs.select("doc_id", "text"), k=5, percent=80, count_links=False)
     return _only(docs, groups.where(F.col("component_id").eqNullSafe(F.col("doc_id")) | (F.col("n_shingles") == 0)))
 
 

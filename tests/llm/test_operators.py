@@ -267,6 +267,28 @@ def test_jaccard_chain_and_empty(spark):
     assert jaccard.jaccard_components(cases.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("block,cells", [(1 << 16, 1 << 23), (300, 1000)])
+def test_jaccard_counts_every_link(spark, monkeypatch, block, cells):
+    """Near copies with different texts, exact copies of some, a chain that is no clique, and a pair."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(jaccard, "CELLS", cells)
+    tail = (None, None, 0, "x", 0, "y", "k", "h", "no")
+    words = [f"w{i}" for i in range(60)]
+    rows = [(n, " ".join([*words[: n + 5], f"own{n}", *words[n + 5 :]]), *tail) for n in range(40)]
+    rows += [(100 + n, rows[n % 4][1], *tail) for n in range(9)]
+    rows += [(200 + n, " ".join(f"v{i}" for i in range(n, n + 40)), *tail) for n in range(12)]
+    rows += [(300, cases.prose(9, 90), *tail), (301, cases.prose(9, 90) + " more", *tail), *cases.rows()]
+    sets = []
+    for i, t, *_ in rows:
+        w = cases.WORD.findall((t or "").translate(cases.LOWER))
+        sets.append((i, {tuple(w[j : j + 2]) for j in range(len(w) - 1)} or ({tuple(w)} if w else set())))
+    want = collections.Counter((i, len(x), sum(bool(x) and a != b and 100 * len(x & y) >= 85 * len(x | y) for b, (_, y) in enumerate(sets))) for a, (i, x) in enumerate(sets))
+    got = jaccard.jaccard_components(cases.frame(spark, rows), k=2, percent=85)
+    assert by_row(got, "doc_id", "n_shingles", "n_links") == want
+    assert by_row(got, "doc_id", "n_shingles", "component_id") == components(rows, 2, 85)
+    assert any(0 < n < 11 for i, _, n in want if i is not None and 200 <= i < 212)
+
+
 def suffix_brute(rows, length):
     order = sorted(rows, key=lambda r: (-1 << 63 if r[0] is None else r[0]))
     seen, out = set(), collections.Counter()

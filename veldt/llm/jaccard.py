@@ -1,10 +1,13 @@
-"""N-gram Jaccard join: rare-first prefix filtering, and components of the links.
+"""N-gram Jaccard join: rare-first prefix filtering, components of the links, and the number of links of each class.
 
 Documents with equal shingle sets are one class. Each class puts the rarest of its shingles, as many as two linked
 sets must share one of, into posting lists. Lists are first compared against one pivot each; classes that are then
 connected need no comparison any more. Two such rounds leave the pairs of unconnected classes that share a prefix
-shingle; those are all compared. Length, positional and suffix filters stand before every comparison, and a pair is
-verified once.
+shingle; those are all compared. Length, positional and suffix filters stand before every comparison.
+
+Links never leave a component, so the links are then counted inside the components: each is dealt into blocks of classes
+by hash, and every two blocks meet once, where each pair of different classes that the length filter leaves is verified
+by its whole sets. Components of two classes are their one link. What leaves the blocks is one count for each class.
 """
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ ORDER_BITS = 18
 #: Parts of the hash space whose counts the suffix filter compares, and the most that a part counts (a bound stays one).
 PARTS, PART_MOST = 64, 127
 PIVOT_ROUNDS = 2
+#: Shingles, and classes, that a block of one component holds on average at most.
+BLOCK_SHINGLES, BLOCK_CLASSES = 1 << 16, 512
+#: Cells of the matrix of classes by shingles that is multiplied at once.
+CELLS = 1 << 23
 #: Shared prefix shingles (a long each) that may be broadcast.
 SHARED_ROWS = 2_000_000
 
@@ -110,6 +117,50 @@ def _set_pass(k: int, seed: int):
     return run
 
 
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of x shares with each of y."""
+    nx = len(x)
+    sizes = [len(s) for s in [*x, *y]]
+    whole = np.concatenate([*x, *y])
+    names, token = np.unique(whole, return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    out = np.zeros((nx, len(y)), np.int64)
+    width = max(1, CELLS // len(sizes))
+    for at in range(0, len(names), width):  # float32 counts up to 2^24 without loss
+        low, high = np.searchsorted(token, (at, at + width))
+        cells = np.zeros((len(sizes), min(width, len(names) - at)), np.float32)
+        cells[row[low:high], token[low:high] - at] = 1
+        out += (cells[:nx] @ cells[nx:].T).astype(np.int64)
+    return out
+
+
+def _block_links(percent: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """The rows that the classes of two blocks (or of one with itself) are linked with."""
+        b1, b2 = key[1].as_py(), key[2].as_py()
+        block, c, rows = (table.column(x).to_numpy() for x in ("block", "c", "rows"))
+        shingles = table.column("shingles").combine_chunks()
+        offsets, values = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+        sets = lambda at: [values[offsets[i] : offsets[i + 1]] for i in at]
+        ix, iy = np.flatnonzero(block == b1), np.flatnonzero(block == b2)
+        counts = np.zeros(len(c), np.int64)
+        if len(ix) and len(iy):
+            n = np.diff(offsets).astype(np.int64)
+            both = n[ix][:, None] + n[iy][None, :]
+            shared = shared_counts(sets(ix), sets(iy))
+            linked = 100 * shared >= percent * (both - shared)
+            if b1 == b2:
+                np.fill_diagonal(linked, False)
+            counts[ix] = linked @ rows[iy]
+            if b1 != b2:
+                counts[iy] = rows[ix] @ linked
+        return pa.table({"c": c, "linked": counts})
+
+    return run
+
+
 def _needed(a: Column, b: Column, percent: int) -> Column:
     """Shared shingles that sets of a and b need to be linked."""
     return F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent) - F.lit(1e-9))
@@ -147,13 +198,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs: id_col, n_shingles (size of its set), component_id, class_id.
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
+    """One row per row of docs: id_col, n_shingles (size of its set), component_id, class_id, and with count_links n_links.
 
     A set holds the distinct k-word shingles of the text, words being runs of bytes other than ASCII white space with
     A-Z lower-cased; fewer words are one shingle; no words, or null, give an empty set, linked with nothing. Sets link
     when 100 * shared >= percent * union. component_id is the smallest id reachable by links, its own included. Rows
-    with equal sets have one class_id. Repeated ids count by row, a null id as the smallest id (and is shown as null);
+    with equal sets have one class_id. n_links is the number of other rows that a row is linked with: those of its own
+    class and all those of the classes linked with it. Repeated ids count by row, a null id as the smallest id (and is shown as null);
     other columns are left out; an empty table gives an empty table.
 
     Shingles are compared by 64-bit hashes. Classes are told apart by 128 bits; if the first 64 coincide, another seed
@@ -178,20 +230,40 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     posts = prefixes.select("c", "n", F.posexplode("tokens").alias("pos", "t")).join(small(shared, shared.count(), SHARED_ROWS), "t")
     posts = materialize(posts.select("t", F.struct("c", "n", "pos").alias("p")))
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(c, shingles) of the classes in wanted (c, rep)."""
+        reps = wanted.select(F.col("rep").alias("id")).distinct()
+        texts = source.join(small(reps, reps.count()), "id", "left_semi").select("t")
+        sets = texts.mapInArrow(_set_pass(k, seed), "c long, shingles array<long>")
+        return materialize(sets.join(wanted.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.first("shingles").alias("shingles")))
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) that are linked: each pair once, by the sets of the classes that any pair still has."""
         of = lambda v: prefixes.select(F.col("c").alias(v), F.col("n").alias(f"n{v}"), F.col("rep").alias(f"r{v}"), F.col("parts").alias(f"p{v}"))
         near = pairs.distinct().join(of("x"), "x").join(of("y"), "y").where(_near_enough(percent))
         near = materialize(near.select("x", "y", "rx", "ry"))
         wanted = materialize(near.select(F.col("x").alias("c"), F.col("rx").alias("rep")).union(near.select("y", "ry")).distinct())
-        reps = wanted.select(F.col("rep").alias("id")).distinct()
-        texts = source.join(small(reps, reps.count()), "id", "left_semi").select("t")
-        sets = texts.mapInArrow(_set_pass(k, seed), "c long, shingles array<long>")
-        sets = materialize(sets.join(wanted.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.first("shingles").alias("shingles")))
+        sets = sets_of(wanted)
         both = near.join(sets.select(F.col("c").alias("y"), F.col("shingles").alias("sy")), "y").join(sets.select(F.col("c").alias("x"), F.col("shingles").alias("sx")), "x")
         tested = both.select("x", "y", F.size(F.array_intersect("sx", "sy")).alias("common"), (F.size("sx") + F.size("sy")).alias("sum"))
         return tested.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("sum") - F.col("common"))).select("x", "y")
 
+    def link_counts(members: DataFrame) -> DataFrame:
+        """(c, linked): the rows of other classes that each class of members (c, rows, comp) is linked with."""
+        sized = labels.join(prefixes.select("c", "n", "rep"), "c")
+        comps = sized.groupBy("comp").agg(F.count(F.lit(1)).alias("many"), F.ceil(F.greatest(F.sum("n") / F.lit(BLOCK_SHINGLES), F.count(F.lit(1)) / F.lit(BLOCK_CLASSES))).cast("int").alias("blocks"))
+        sized = materialize(sized.join(comps, "comp").join(members.select("c", "rows"), "c").select("c", "comp", "rep", "rows", "many", "blocks"))
+        two = sized.where("many = 2")
+        other = two.select(F.col("comp").alias("oc"), F.col("c").alias("other"), F.col("rows").alias("linked"))
+        pairs = two.join(other, (F.col("comp") == F.col("oc")) & (F.col("c") != F.col("other"))).select("c", "linked")
+        more = sized.where("many > 2")
+        block = F.pmod(F.xxhash64(F.lit(5), "c"), F.col("blocks")).cast("int")
+        dealt = more.join(sets_of(more), "c").select("c", "comp", "rows", "shingles", "blocks", block.alias("block"))
+        dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met = dealt.select("comp", F.least("block", "with").alias("b1"), F.greatest("block", "with").alias("b2"), "block", "c", "rows", "shingles")
+        counted = met.groupBy("comp", "b1", "b2").applyInArrow(_block_links(percent), "c long, linked long")
+        return pairs.union(counted).groupBy("c").agg(F.sum("linked").alias("linked"))
+
     # The first pivot of a list has the fewest rare shingles of its own before the shared one, as an original has among
     # its edited copies. Lists of two are done with that; the others go on.
     heads = posts.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("p.pos", "p.c", "p.n")).alias("q"))
@@ -214,11 +286,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             met = alive.join(other, "t").where((F.col("comp") < F.col("qcomp")) & _may_link("p", "q", percent))
         links = links.union(materialize(verified(met.select(*pair))))
         labels = components(links)
-    classes = filled.groupBy("c").agg(F.min("id").alias("least"))
-    joined = classes.join(labels.withColumnRenamed("c", "lc"), F.col("c") == F.col("lc"), "left").select("c", "least", F.coalesce("comp", "c").alias("comp"))
+    classes = filled.groupBy("c").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    joined = classes.join(labels.withColumnRenamed("c", "lc"), F.col("c") == F.col("lc"), "left").select("c", "least", "rows", F.coalesce("comp", "c").alias("comp"))
     joined = materialize(joined)
     tops = joined.groupBy("comp").agg(F.min("least").alias("component_id"))
-    table = joined.join(tops, "comp").select("c", "component_id")
+    table = joined.join(tops, "comp").select("c", "component_id", "rows")
+    if count_links:
+        table = table.join(link_counts(joined), "c", "left").select("c", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     out = rows.join(table, "c", "left")
+    links_shown = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
     shown = lambda x: F.when(x != F.lit(-(2**63)), x)
-    return out.select(shown(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), shown(F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))).alias("component_id"), F.col("c").alias("class_id"))
+    return out.select(shown(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), shown(F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))).alias("component_id"), F.col("c").alias("class_id"), *links_shown)

@@ -32,7 +32,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir).select("doc_id", "text"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(documents(spark, sf_dir).select("doc_id", "text"), k=4, percent=85)
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
