@@ -127,6 +127,13 @@ def test_unbounded_tables_are_errors(engine):
             engine.sql(text)
 
 
+def test_sequence_beyond_ten_million(engine):
+    assert rows(engine, "FROM SEQUENCE WHERE value < 20000000 SELECT COUNT(*) AS n") == [(20_000_000,)]
+    assert rows(engine, "FROM SEQUENCE WHERE value > 20000000 LIMIT 2") == [(20_000_001,), (20_000_002,)]
+    plan = engine.sql("FROM SEQUENCE OFFSET 12000000 LIMIT 2")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (0, 12000002, step=1" in plan, plan
+
+
 @pytest.mark.parametrize("text", ["SELECT", "FROM", "SELECT 1 +", "FROM suits WHERE", "FROM nowhere", "FROM suits SELECT nothing", "SELECT F(1)", "SELECT LENGTH(1, 2)", "FROM suits LIMIT x", "SELECT 'open"])
 def test_errors(engine, text):
     with pytest.raises(DialectError):

@@ -275,7 +275,8 @@ class Binder:
             low = max(b.low or 0, 0)
             if b.step > 1:
                 low += (b.phase - low) % b.step
-            df = generated.sequence(self.spark, low, min(b.high if b.high is not None else generated.SEQUENCE_ROWS, generated.SEQUENCE_ROWS), b.step)
+            high = b.high if b.high is not None else low + max(generated.SEQUENCE_ROWS, q.offset + q.limit) * max(b.step, 1)
+            df = generated.sequence(self.spark, low, high, b.step)
             number = "value"
         columns = [F.col(n).cast("long").alias(f"t{i}_{j}") if k == "int" else F.col(n).alias(f"t{i}_{j}") for j, (n, k) in enumerate(zip(relation.names, relation.kinds, strict=True))]
         if i in self.rowids:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veldt.functions import dates as D
 from veldt.sources.relation import Relation, relation_of
 
-#: Rows that SEQUENCE has without an upper bound, when a LIMIT stops it.
+#: Rows that SEQUENCE has from its lower bound on without an upper bound, when a LIMIT stops it.
 SEQUENCE_ROWS = 10_000_000
 
 CALENDAR = Relation(None, tuple(D.CALENDAR), tuple(k for k, _ in D.CALENDAR.values()), "calendar")
