@@ -11,6 +11,7 @@ import pytest
 from tests.llm import cases
 from veldt.llm import jaccard, media, mixing, packing, quality_rules, sharding, suffix_dedup, tokens
 from veldt.llm.common import importable
+from veldt.llm import line_dedup as module
 from veldt.llm.line_dedup import line_dedup
 
 
@@ -47,6 +48,22 @@ def test_line_dedup(spark, docs):
     assert line_dedup(cases.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("few", [200_000, 1])
+def test_line_dedup_keeps_rows_of_one_id_apart(spark, monkeypatch, few):
+    """Different texts, and equal ones, under one id; with and without a broadcast of the shared lines."""
+    monkeypatch.setattr(module, "BROADCAST_ROWS", few)
+    shared, other = "a line that stands in every document here", "a second line that several documents hold"
+    some = [(1, f"{shared}\nunique A"), (1, f"unique B, an important line of row two\nfoo\n{other}"), (2, f"{shared}\n{other}"), (3, f"x\n{shared}\n{other}"), (3, f"{other}\ny"), (None, shared), (None, f"z\n{shared}"), (2, f"{shared}\n{other}")]
+    rows = [(i, t, None, None, 0, "x", 0, "y", "k", "h", "no") for i, t in some]
+    keep = {shared: 3, other: 3}
+    want = collections.Counter()
+    for i, t in some:
+        lines = t.split("\n")
+        kept = [x for x in lines if x not in keep or i == keep[x]]
+        want[i, "\n".join(kept), len(lines), len(lines) - len(kept)] += 1
+    assert by_row(line_dedup(cases.frame(spark, rows)), "doc_id", "text", "n_lines", "n_dropped") == want
+
+
 def test_mixing(spark, docs):
     got = mixing.mix_sources(docs).collect()
     size = {}

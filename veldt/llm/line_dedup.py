@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldt.llm.common import fresh, id_key, lower_ascii, materialize, small
+from veldt.llm.common import BROADCAST_ROWS, fresh, id_key, lower_ascii, materialize, small
 
+#: A line is hot if over one in so many documents holds it; so hot lines are at most that many times the lines of a document.
+HOT_SHARE = 1000
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -28,29 +30,44 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Keys of at least min_chars code points found in at least min_docs documents (distinct ids) lose all their
     lines except those in the largest id that holds them. Adds n_lines (before dropping) and n_dropped.
-    A null or empty text is one empty line and keeps its value. Rows with one id are one document; a null id is
-    the smallest id. Other columns pass through, whatever they are called; an empty table gives an empty table.
+    A null or empty text is one empty line and keeps its value. Rows with one id are one document where documents are
+    counted, and each keeps its own lines; a null id is the smallest id. Other columns pass through, whatever they are
+    called; an empty table gives an empty table.
 
     Keys are compared by 128-bit hashes. Hot lines: keys are made distinct within a row and counted with map-side
-    aggregation; the join that marks lines is a broadcast only if the shared keys were counted to be few.
+    aggregation; lines that over one in HOT_SHARE documents hold, which are few, are marked by broadcast, the others too
+    where they were counted to be few, else by a shuffle in which no line is hot.
     """
-    doc, lines, drops, n_lines, n_dropped = fresh(docs, "dedup_id", "dedup_lines", "dedup_drops", "n_lines", "n_dropped")
-    base = docs.select(id_key(docs[id_col]).alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t"))
+    doc, text1, text2, lines, drops, n_lines, n_dropped = fresh(docs, "dedup_id", "dedup_h1", "dedup_h2", "dedup_lines", "dedup_drops", "n_lines", "n_dropped")
+    whole_text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    rows, several = docs.groupBy(id_key(docs[id_col])).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0)) > 1).first()
+    # Positions belong to a row: to its id, and to its text where several rows have one id.
+    row = {doc: id_key(docs[id_col])} | ({text1: F.xxhash64(whole_text), text2: F.xxhash64(F.lit(7), whole_text)} if several else {})
+    base = docs.select(*[c.alias(n) for n, c in row.items()], whole_text.alias("t"))
     long_key = F.length("k") >= min_chars
-    seen = base.select("id", F.explode(F.array_distinct(line_keys(F.col("t")))).alias("k")).where(long_key).select("id", *_hashes(F.col("k")))
-    if not docs.groupBy(id_key(docs[id_col])).count().where("count > 1").isEmpty():
+    seen = base.select(doc, F.explode(F.array_distinct(line_keys(F.col("t")))).alias("k")).where(long_key).select(doc, *_hashes(F.col("k")))
+    if several:
         seen = seen.distinct()  # several rows of one id are one document
-    shared = materialize(seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("h1", "h2", "keeper"))
-    placed = base.select("id", F.posexplode(line_keys(F.col("t"))).alias("p", "k")).where(long_key).select("id", "p", *_hashes(F.col("k")))
-    dropped = (
-        placed.join(small(shared, shared.count()), ["h1", "h2"])
-        .where(F.col("id") < F.col("keeper"))
-        .groupBy(F.col("id").alias(doc))
-        .agg(F.collect_set("p").alias(drops))
-    )
+    shared = materialize(seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max(doc).alias("keeper")).where(F.col("n") >= min_docs))
+    placed = base.select(*row, F.posexplode(line_keys(F.col("t"))).alias("p", "k")).where(long_key).select(*row, "p", *_hashes(F.col("k")))
+
+    def marked(some: DataFrame, few: int) -> DataFrame:
+        return placed.join(small(some, few), ["h1", "h2"]).where(F.col(doc) < F.col("keeper")).select(*row, "p")
+
+    n_shared = shared.count()
+    marks = shared.select("h1", "h2", "keeper")
+    if n_shared <= BROADCAST_ROWS:
+        found = marked(marks, n_shared)
+    else:
+        is_hot = F.col("n") > rows // HOT_SHARE
+        hot = shared.where(is_hot).select("h1", "h2", "keeper")
+        found = marked(hot, hot.count())
+        placed = placed.join(small(hot, hot.count()), ["h1", "h2"], "left_anti")
+        found = found.union(marked(shared.where(~is_hot).select("h1", "h2", "keeper"), n_shared))
+    dropped = found.groupBy(*row).agg(F.collect_set("p").alias(drops))
     # Lines are split before the join so that they are a plain column afterwards and are looked up by position.
-    cut = docs.withColumns({doc: id_key(docs[id_col]), lines: F.split(F.coalesce(docs[text_col].cast("string"), F.lit("")), "\n", -1)})
-    joined = cut.drop(*([text_col] if not docs.columns.count(text_col) > 1 else [])).join(dropped, doc, "left")
+    cut = docs.withColumns({**row, lines: F.split(whole_text, "\n", -1)})
+    joined = cut.drop(*([text_col] if not docs.columns.count(text_col) > 1 else [])).join(dropped, list(row), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(F.col(drops), F.array().cast("array<int>")))
     at = joined.withColumn(drops, F.when(F.col(drops).isNotNull(), stay))
     whole = F.array_join(lines, "\n")
