@@ -2,18 +2,23 @@
 
 Two ways to encode less than the whole text at a time, both exact:
 
-* short texts are cut at blanks and line feeds, which no pre-token of the supplied vocabulary crosses, and each
-  distinct word is encoded once for a worker (a bounded memo);
+* short texts are cut at blanks and line feeds where no pre-token of the vocabulary crosses those, and each distinct
+  word is encoded once for a worker (a memo of bounded bytes);
 * huge texts are encoded as overlapping chunks with offsets. Neighbouring chunks are spliced at a boundary that is
   proven stable: both encodings break there, the text has a separator there, and both encodings give the same
   tokens from there to the last separator that both have seen. If no such boundary is found, the overlap is
   widened, in the end to the whole text.
+
+Both hold for vocabularies whose words are independent (see independent_words); with any other, each text is encoded
+whole by the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -26,51 +31,108 @@ SEPARATORS = " \n"
 #: Texts over so many characters are encoded as chunks of this size.
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
-#: Distinct words that a worker remembers; then it starts anew.
-MEMO_WORDS = 1_000_000
+#: Bytes that a worker remembers of words and their ids, with what each entry costs besides; then it starts anew.
+MEMO_BYTES, ENTRY_BYTES = 96 << 20, 160
+#: Longer words are encoded each time and not remembered.
 MEMO_WORD_BYTES = 64
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 
 _loaded: dict[str, object] = {}
 
 
+class Pieces:
+    """A sentencepiece model with the one call that is used of a tokenizer."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def encode(self, text: str, add_special_tokens: bool = False) -> SimpleNamespace:
+        return SimpleNamespace(ids=self.model.encode(text, add_bos=add_special_tokens, add_eos=add_special_tokens))
+
+
 def load_tokenizer(vocabulary: str):
     """The tokenizer of a vocabulary file: a path, or a name that public_tokenizers knows. One for a process."""
     if vocabulary not in _loaded:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         path = vocabulary
         if not os.path.exists(path):
             import public_tokenizers
 
-            path = public_tokenizers.path(vocabulary)
-        tokenizer = Tokenizer.from_file(str(path))
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _loaded[vocabulary] = tokenizer
+            path = str(public_tokenizers.path(vocabulary))
+        if path.endswith(".model"):
+            _loaded[vocabulary] = Pieces(path)
+        else:
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+            _loaded[vocabulary] = tokenizer
     return _loaded[vocabulary]
 
 
+def independent_words(tokenizer) -> bool:
+    """Whether words between blanks and line feeds are encoded each for itself.
+
+    True only for what is known to be so: a normalizer of NFC, lower case and white space alone, a pre-tokenizer that
+    keeps the matches of one expression, none of which has a blank or line feed in it, and special strings without them.
+    """
+    if isinstance(tokenizer, Pieces):
+        return False
+    import regex
+
+    config = json.loads(tokenizer.to_str())
+    parts = lambda x, key: [] if x is None else x[key] if x["type"] == "Sequence" else [x]
+    for x in parts(config["normalizer"], "normalizers"):
+        blanks = x["type"] == "Replace" and x["pattern"].get("Regex") in (r"\s+", r"\s") and x["content"] == " "
+        if x["type"] not in ("NFC", "Lowercase") and not blanks:
+            return False
+    first, *rest = parts(config["pre_tokenizer"], "pretokenizers") or [{"type": "none"}]
+    if first["type"] == "Split":
+        if first["behavior"] != "Removed" or not first["invert"] or "Regex" not in first["pattern"]:
+            return False
+        pattern = regex.compile(first["pattern"]["Regex"])
+        some = [chr(c) for c in range(33, 127)] + ["é", "日", "\u0301", "ab", "12", "!?"]
+        probe = "".join(f"{x}{gap}{y}" for gap in (" ", "\n", "  ", " \n") for x in some for y in some)
+        if any(" " in m[0] or "\n" in m[0] for m in pattern.finditer(probe)):
+            return False
+    elif first["type"] != "WhitespaceSplit":
+        return False
+    if any(x["type"] != "ByteLevel" or x["add_prefix_space"] or x["use_regex"] for x in rest):
+        return False
+    return not any(c.isspace() for t in tokenizer.get_added_tokens_decoder().values() for c in t.content)
+
+
 class WordMemo:
     """Ids of words as little-endian unsigned 32-bit bytes, each distinct word encoded once."""
 
-    def __init__(self, vocabulary: str, limit: int = MEMO_WORDS):
-        self.tokenizer, self.limit, self.known = load_tokenizer(vocabulary), limit, {b"": b""}
-        self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+    def __init__(self, vocabulary: str, limit: int = MEMO_BYTES):
+        self.tokenizer, self.limit = load_tokenizer(vocabulary), limit
+        self.independent = independent_words(self.tokenizer)
+        self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if self.independent else []
+        self.lowers = self.independent and self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AZ") == "az"
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.bytes = {b"": b""}, 0
 
     def words(self, text: bytes) -> list[bytes]:
-        """Cut at blanks and line feeds. The vocabulary lower-cases; doing A-Z here makes fewer distinct words, but
+        """Cut at blanks and line feeds. If the vocabulary lower-cases, doing A-Z here makes fewer distinct words, but
         only where that can't make a special token out of other text."""
-        if not any(m[:2] in text for m in self.marks):
+        if self.lowers and not any(m[:2] in text for m in self.marks):
             text = text.lower()
         return text.replace(b"\n", b" ").split(b" ")
 
-    def learn(self, words: set[bytes]) -> None:
+    def ids(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Encode what isn't known; words that are too long to remember are returned."""
+        if self.bytes > self.limit:
+            self.forget()
         new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.limit:
-            self.known = {b"": b""}
-            new = list(words)
         short = [w for w in new if len(w) <= MEMO_WORD_BYTES]
         for at in range(0, len(short), 4096):
             some = short[at : at + 4096]
@@ -84,17 +146,22 @@ class WordMemo:
             for w, cut in zip(some, cuts, strict=True):
                 self.known[w] = raw[4 * last : 4 * cut]
                 last = cut
-        for w in new:
-            if len(w) > MEMO_WORD_BYTES:
-                self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            self.bytes += sum(map(len, some)) + len(raw) + ENTRY_BYTES * len(some)
+        return {w: self.ids(w) for w in new if len(w) > MEMO_WORD_BYTES}
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text."""
+        if not self.independent:
+            yield from map(self.ids, texts)
+            return
         cut = [self.words(t) for t in texts]
-        self.learn(set().union(*cut))
+        long = self.learn(set().union(*cut))
         known = self.known
         for words in cut:
-            yield b"".join(map(known.__getitem__, words))
+            if long:
+                yield b"".join([known[w] if w in known else long[w] for w in words])
+            else:
+                yield b"".join(map(known.__getitem__, words))
 
 
 _memos: dict[str, WordMemo] = {}
@@ -159,6 +226,17 @@ def encode_overlapping(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap:
     return np.concatenate(parts)
 
 
+def encode_runs(run: list[bytes], vocabulary: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> Iterator[tuple[bytes, int]]:
+    """For each text its ids as little-endian unsigned 32-bit bytes, and in how many chunks they were found."""
+    memo, tokenizer = word_memo(vocabulary), load_tokenizer(vocabulary)
+    huge = [memo.independent and len(t) > chunk_chars and len(t.decode()) > chunk_chars for t in run]
+    for text, h, ids in zip(run, huge, memo.encode([b"" if h else t for t, h in zip(run, huge, strict=True)]), strict=True):
+        if h:
+            yield encode_overlapping(tokenizer, text.decode(), chunk_chars, overlap_chars).astype("<u4").tobytes(), -(-len(text) // chunk_chars)
+        else:
+            yield ids, int(bool(text))
+
+
 def text_runs(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[bytes]]:
     """The texts as bytes (null: empty), in runs of about limit bytes."""
     run, size = [], 0
@@ -178,25 +256,23 @@ def token_counts(
     """docs without text_col, with n_bytes, n_tokens, n_chunks and over_limit (n_tokens > limit).
 
     Counts are those of the library for the whole text, without added begin or end tokens; special strings inside
-    texts count as the library's default has them. Null and empty texts have 0 tokens and 0 chunks. Repeated rows
-    are counted each; other columns pass through; an empty table gives an empty table. No shuffle; a worker holds
-    one Arrow batch, its memo, and the chunks of one text.
+    texts count as the library's default has them. Any vocabulary file of tokenizers (.json) or sentencepiece (.model)
+    is right: one that is cased keeps its case, and one whose tokens may cross blanks encodes each text whole. Null and
+    empty texts have 0 tokens and 0 chunks. Repeated rows are counted each; other columns pass through; an empty table
+    gives an empty table. No shuffle; a worker holds one Arrow batch, its memo, and the chunks of one text.
     """
     n_bytes, n_tokens, n_chunks, over = fresh(docs, "n_bytes", "n_tokens", "n_chunks", "over_limit")
     others = [c for c in docs.columns if c != text_col]
     source = docs.select(F.col(f"`{text_col}`").cast("string").alias(text_col), *[f"`{c}`" for c in others])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, tokenizer = word_memo(vocabulary), load_tokenizer(vocabulary)
         for batch in batches:
             sizes, counts, chunks = [], [], []
             for run in text_runs(batch.column(0)):
-                huge = [len(t) > chunk_chars and len(t.decode()) > chunk_chars for t in run]
-                short = memo.encode([b"" if h else t for t, h in zip(run, huge, strict=True)])
-                for text, h, ids in zip(run, huge, short, strict=True):
+                for text, (ids, parts) in zip(run, encode_runs(run, vocabulary, chunk_chars, overlap_chars), strict=True):
                     sizes.append(len(text))
-                    counts.append(len(encode_overlapping(tokenizer, text.decode(), chunk_chars, overlap_chars)) if h else len(ids) // 4)
-                    chunks.append(-(-len(text) // chunk_chars) if h else int(bool(text)))
+                    counts.append(len(ids) // 4)
+                    chunks.append(parts)
             new = [pa.array(x, pa.int64()) for x in (sizes, counts, chunks)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], names=[*others, n_bytes, n_tokens, n_chunks])
 
