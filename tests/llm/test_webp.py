@@ -73,7 +73,7 @@ def test_near_distances_are_the_formats():
 
 
 def test_broken_streams_raise():
-    good = webp.encode_grey(np.arange(128, dtype=np.uint8).reshape(2, 64))
+    good = webp.encode_grey(np.random.default_rng(0).integers(0, 99, (4, 64)).astype(np.uint8))[0]
     for broken in (b"", good[:10], good[:-20], b"RIFX" + good[4:]):
         with pytest.raises(ValueError):
             webp.decode(broken)
@@ -85,4 +85,63 @@ def test_payloads():
     for text in (b"", b"a", b"a" * 64, b"ab" * 500, bytes(range(256)), rng.bytes(5000), skewed.tobytes(), "žluťoučký kůň\n".encode() * 99, b"x" * ((1 << 20) + 65), rng.bytes((1 << 20) + 65 * 64)):
         payload = media.payload_of(text)
         assert len(payload) % 64 == 0 and payload.startswith(text) and len(payload) >= 64
-        assert b"".join(i.tobytes() for i in media.load(media.store(payload))) == payload
+        assert b"".join(i.tobytes() for i in media.load(media.store(payload)[0])) == payload
+
+
+GREY = {
+    "": lambda rng: rng.integers(0, 256, 6400),
+    "palette": lambda rng: rng.choice([48, 49, 50, 51, 52, 53], 6400),
+    "predictor": lambda rng: np.cumsum(rng.integers(-2, 3, 6400)) % 256,
+    "references": lambda rng: np.tile(rng.integers(0, 256, 700), 12)[:6400],
+    "palette,references": lambda rng: np.tile(rng.choice([7, 9, 200], 1100), 6)[:6400],
+    "predictor,references": lambda rng: np.tile(np.cumsum(rng.integers(-15, 16, 1600)), 4) % 256,
+}
+
+
+@pytest.mark.parametrize("coding", GREY)
+def test_grey_images_use_what_shortens_them(coding, monkeypatch):
+    """Each feature is chosen where it helps, the file is shorter than prefix codes alone, and it is read the same by the
+    array decoder, stretch by stretch, and by the one that goes pixel by pixel."""
+    rng = np.random.default_rng(8)
+    samples = GREY[coding](rng).astype(np.uint8).reshape(-1, 64)
+    data, used = webp.encode_grey(samples)
+    assert ",".join(sorted(used)) == coding
+    image = samples.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000)
+    assert np.array_equal(webp.decode(data), image)
+    if coding:
+        assert len(data) < len(webp.encode(image, references=False))
+    monkeypatch.setattr(webp, "STRETCH", 300)
+    assert np.array_equal(webp.decode(data), image)
+    monkeypatch.setattr(webp, "_grey_pixels", lambda bits, codes, total, width: webp._pixel_by_pixel(bits, [codes], total, width, 0, None, 0, 0) >> np.uint32(8) & np.uint32(255))
+    assert np.array_equal(webp.decode(data), image)
+
+
+def test_references_of_a_run():
+    """References stay in their document and their block, never overlap, and copy what stands before them."""
+    rng = np.random.default_rng(2)
+    texts = [b"abcdefgh" * 40, rng.bytes(300) * 3, b"abcdefgh" * 3, b"", b"x" * 9000, rng.bytes(50)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    start, length, far = webp.references(data, doc)
+    assert len(start) > 5 and (np.diff(start) >= length[:-1]).all() and length.max() == webp.MAX_REFERENCE
+    for s, n, d in zip(start.tolist(), length.tolist(), far.tolist(), strict=True):
+        assert doc[s - d] == doc[s + n - 1] and all(data[s + k] == data[s + k - d] for k in range(n))
+
+
+def test_hand_made_stream_with_references():
+    """Eight grey pixels, put together by hand: two literals, then a reference of six pixels at distance 2."""
+    bits = webp.BitWriter()
+    for value, n in ((0x2F, 8), (7, 14), (0, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
+        bits.write(value, n)
+    lengths = [0] * 280
+    lengths[65], lengths[66], lengths[256 + 4] = 2, 2, 1  # symbol 4: lengths 5 and 6
+    webp.write_prefix_code(bits, lengths)
+    for symbol in (0, 0, 255, 4):  # distance symbol 4: codes 5 and 6; 6 is two pixels to the left
+        bits.write(1, 1)
+        bits.write(0, 1)
+        bits.write(int(symbol > 1), 1)
+        bits.write(symbol, 8 if symbol > 1 else 1)
+    codes = webp.canonical_codes(lengths)
+    for value, n in ((codes[65], 2), (codes[66], 2), (codes[260], 1), (1, 1), (1, 1)):
+        bits.write(value, n)
+    assert ((webp.decode(webp._file(bits.bits())) >> 8) & 255).tolist() == [[65, 66] * 4]

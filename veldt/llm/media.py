@@ -16,8 +16,9 @@ from veldt.llm.common import fresh
 from veldt.llm.tokens import text_runs
 
 ROW = 64
-#: Samples that one image of the format can hold; longer payloads are stored as several files in a row.
-IMAGE_SAMPLES = ROW * webp.MAX_SIDE * (webp.MAX_SIDE // ROW)
+#: Samples that one image holds; longer payloads are stored as several files in a row.
+IMAGE_SAMPLES = ROW * webp.MAX_SIDE
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def payload_of(text: bytes) -> bytes:
@@ -25,17 +26,30 @@ def payload_of(text: bytes) -> bytes:
     return text + bytes(-len(text) % ROW or (0 if text else ROW))
 
 
-def store(payload: bytes) -> bytes:
-    """The payload as grey images with rows of 64 samples (or a multiple, where the image would be too high)."""
-    parts = []
+def store(payload: bytes, found: Found | None = None) -> tuple[bytes, list[str]]:
+    """The payload as grey images with rows of 64 samples, and the features of the format that they use. found: the
+    references of the whole payload, where they are known."""
+    parts, used = [], []
     for at in range(0, len(payload), IMAGE_SAMPLES):
         some = np.frombuffer(payload, np.uint8, min(IMAGE_SAMPLES, len(payload) - at), at)
-        wide = ROW * -(-len(some) // (ROW * webp.MAX_SIDE))
-        whole = len(some) // wide * wide
-        parts.append(webp.encode_grey(some[:whole].reshape(-1, wide)))
-        if whole < len(some):
-            parts.append(webp.encode_grey(some[whole:].reshape(-1, ROW)))
-    return b"".join(parts)
+        media, features = webp.encode_grey(some.reshape(-1, ROW), found if len(payload) <= IMAGE_SAMPLES else None)
+        parts.append(media)
+        used += features
+    return b"".join(parts), sorted(set(used))
+
+
+def store_run(payloads: list[bytes]) -> list[tuple[bytes, list[str]]]:
+    """store() of each payload, with one search for the references of all."""
+    sizes = np.array([len(p) for p in payloads], np.int64)
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(payloads), np.uint8)
+    start, length, far = webp.references(data, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes))
+    cut = np.searchsorted(start, np.concatenate([[0], ends]))
+    out = []
+    for k, payload in enumerate(payloads):
+        own = slice(cut[k], cut[k + 1])
+        out.append(store(payload, (start[own] - (ends[k] - sizes[k]), length[own], far[own])))
+    return out
 
 
 def load(media: bytes) -> list[np.ndarray]:
@@ -58,16 +72,17 @@ def features(samples: np.ndarray) -> str:
     return f"{mean}:{variance}:{int((counts > 0).sum())}:" + ",".join(map(str, shares))
 
 
-def media_columns(docs: DataFrame, *, text_col: str = "text", keep_media: bool = True, keep_pixels: bool = False) -> DataFrame:
+def media_columns(docs: DataFrame, *, text_col: str = "text", keep_media: bool = True, keep_pixels: bool = True) -> DataFrame:
     """docs without text_col, with the media column's size and digests, and features from the pixels read back.
 
-    Adds n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and with keep_media
-    media (binary), with keep_pixels height, width and pixels (binary rows of 8-bit samples). A null text counts as
-    empty; its payload is 64 bytes 0. Equal texts give equal values. Other columns pass through; an empty table gives
-    an empty table. No shuffle; a worker holds one Arrow batch and one payload's arrays.
+    Adds n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, coding (the features of
+    the format that the file uses: palette, predictor, references; none: prefix codes alone), and with keep_media media
+    (binary), with keep_pixels height, width and pixels (binary rows of 8-bit samples, as decoded). A null text counts
+    as empty; its payload is 64 bytes 0. Equal texts give equal values. Other columns pass through; an empty table gives
+    an empty table. No shuffle; a worker holds one Arrow batch and the arrays of about 2 MB of payloads.
     """
-    new = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = ["long", "long", "string", "long", "long", "string", "string"]
+    new = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "coding"]
+    types = ["long", "long", "string", "long", "long", "string", "string", "string"]
     if keep_media:
         new, types = [*new, "media"], [*types, "binary"]
     if keep_pixels:
@@ -81,16 +96,15 @@ def media_columns(docs: DataFrame, *, text_col: str = "text", keep_media: bool =
             at = 0
             for run in text_runs(batch.column(0)):
                 rows = []
-                for text in run:
-                    media = store(payload_of(text))
+                for text, (media, used) in zip(run, store_run([payload_of(t) for t in run]), strict=True):
                     images = load(media)
                     samples = images[0].ravel() if len(images) == 1 else np.concatenate([i.ravel() for i in images])
                     back = samples.tobytes()
-                    row = [len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), features(samples)]
+                    row = [len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), features(samples), ",".join(used)]
                     if keep_media:
                         row.append(media)
                     if keep_pixels:
-                        row += [len(samples) // images[0].shape[1], images[0].shape[1], back]
+                        row += [len(samples) // ROW, ROW, back]
                     rows.append(row)
                 arrays = [pa.array(x, arrow[t]) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(i + 1).slice(at, len(run)) for i in range(len(others))], *arrays], names=[*others, *names])

@@ -36,7 +36,17 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(documents(spark, sf_dir).select("doc_id", "text"), keep_media=False)
+    """The digests are taken from the media and pixel arrays that the operator writes."""
+    stored = media_columns(documents(spark, sf_dir).select("doc_id", "text"))
+    return stored.select(
+        "doc_id", "n_bytes",
+        F.octet_length("pixels").cast("long").alias("payload_bytes"),
+        F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.substring("pixels", -64, 64)).cast("long").alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature", "coding", "height", "width",
+    )
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

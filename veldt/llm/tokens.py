@@ -32,7 +32,7 @@ SEPARATORS = " \n"
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
 #: Bytes that a worker remembers of words and their ids, with what each entry costs besides; then it starts anew.
-MEMO_BYTES, ENTRY_BYTES = 96 << 20, 160
+MEMO_BYTES, ENTRY_BYTES = 224 << 20, 160
 #: Longer words are encoded each time and not remembered.
 MEMO_WORD_BYTES = 64
 DEFAULT_VOCABULARY = "word_bpe_49k.json"

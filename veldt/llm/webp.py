@@ -1,13 +1,16 @@
 """Lossless WebP (VP8L in a RIFF container): a whole decoder and two encoders.
 
 The decoder reads prefix codes, back-references, the colour cache, meta prefix codes, and inverts the predictor,
-cross-colour, subtract-green and palette transforms. Runs of pixels whose only coded channel is green, without
-references or cache, are decoded with array operations; everything else pixel by pixel.
-Images are arrays of height x width unsigned 32-bit ARGB.
+cross-colour, subtract-green and palette transforms. Grey images (green is the only coded channel, one group of codes,
+no cache) are decoded with array operations, their back-references included; everything else pixel by pixel.
+encode_grey chooses back-references, a palette with bundled pixels, and a predictor where they make the file shorter; a
+colour cache can't, since a literal of a grey image costs no more than a cache code. encode takes any ARGB image and has
+every feature. Images are arrays of height x width unsigned 32-bit ARGB.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 
 import numpy as np
@@ -15,12 +18,19 @@ import numpy as np
 # Fixed values of the format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 MAX_SIDE = 1 << 14
+MAX_REFERENCE, MAX_DISTANCE = 4096, (1 << 20) - 120
 MAX_CODE_LENGTH = 15
 LENGTH_CODES, DISTANCE_CODES = 24, 40
 CACHE_FACTOR = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 OPAQUE_BLACK = 0xFF000000
 
+#: Bytes of a stream that are looked up at once, and of samples that are searched for references at once.
+STRETCH, BLOCK = 1 << 17, 1 << 21
+#: Least pixels of a back-reference that the grey encoder looks for; bits that a reference, and a further code, are taken
+#: to cost.
+LEAST_REFERENCE, REFERENCE_BITS, CODE_BITS = 6, 24, 100
+
 #: The 120 short distances, nearest first, as (columns to the left, rows up).
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
@@ -252,39 +262,120 @@ def read_prefixed(bits: BitReader, symbol: int) -> int:
 # Pixels
 
 
-def _green_run(bits: BitReader, code: PrefixCode, n: int) -> np.ndarray:
-    """n symbols of one code in a row: code lengths are looked up at every bit position at once, then followed."""
-    if code.single is not None:
-        return np.full(n, code.single, np.uint32)
-    out, done = np.empty(n, np.uint32), 0
-    while done < n:  # stretch by stretch, so that memory is bounded
-        some = min(n - done, 1 << 18)
+def _windows(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """At least 24 bits from each bit position; raw: the bytes as 32-bit words of 4 from each byte on."""
+    return raw[at >> 3] >> (at & 7).astype(np.uint32)
+
+
+def _extra_bits(symbols: np.ndarray) -> np.ndarray:
+    return np.where(symbols < 4, 0, (symbols - 2) >> 1)
+
+
+def _prefixed_values(symbols: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    return np.where(symbols < 4, symbols + 1, ((2 + (symbols & 1)) << _extra_bits(symbols)) + extra + 1)
+
+
+@functools.cache
+def near_distances(width: int) -> np.ndarray:
+    """The distance in pixels of each of the short distance codes, from 1 on."""
+    return np.array([0, *[max(1, x + y * width) for x, y in NEAR]], np.int64)
+
+
+def _followed(steps: np.ndarray, first: int, end: int) -> np.ndarray:
+    """The positions from first on, each by its own step from the one before, up to the end."""
+    one = steps.astype(np.int64)
+    two = (one + one[np.minimum(np.arange(len(one)) + one, len(one) - 1)]).astype(np.uint8).tobytes()  # two steps at once
+    places, p = [], first
+    put = places.append
+    while p < end:
+        put(p)
+        p += two[p]
+    even = np.array(places, np.int64)
+    at = np.empty(2 * len(even), np.int64)
+    at[::2], at[1::2] = even, even + one[even]
+    return at[at < end]
+
+
+def _grey_pixels(bits: BitReader, codes: list[PrefixCode], total: int, width: int) -> np.ndarray:
+    """The green channel of the last image of a stream: the step to the next code is looked up at every bit position at
+    once, the steps are followed, and references are resolved together."""
+    green, distance = codes[0], codes[4]
+    if green.single is not None:
+        if green.single >= 256:
+            raise ValueError("a reference leaves the image")
+        return np.full(total, green.single, np.uint32)
+    literal, place, length, back, done = [], [], [], [], 0
+    while done < total:  # stretch by stretch, so that memory is bounded
         first = bits.at >> 3
-        raw = np.frombuffer(bits.data, np.uint8, min(len(bits.data) - first, (some * MAX_CODE_LENGTH >> 3) + 8), first).astype(np.uint32)
-        wide = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
-        windows = ((wide[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(code.mask)).ravel()
-        one = code.lengths[windows]
-        two = one + one[np.minimum(np.arange(len(one)) + one, len(one) - 1)]  # the length of two symbols in a row
-        p, steps, places = bits.at & 7, two.tobytes(), []
-        put = places.append
-        try:
-            for _ in range(some >> 1):
-                put(p)
-                p += steps[p]
-            even = np.array(places, np.int64)
-            at = np.empty(some, np.int64)
-            at[: some & ~1 : 2], at[1 : some & ~1 : 2] = even, even + one[even]
-            if some & 1:
-                at[-1] = p
-                p += int(one[p])
-            got = code.symbols[windows[at]]
-        except IndexError:
-            raise ValueError("the stream ends too soon") from None
-        out[done : done + len(got)] = got
-        done += len(got)
-        bits.at = 8 * first + p
-        if bits.at > bits.end:
+        data = np.frombuffer(bits.data, np.uint8, min(len(bits.data) - first, STRETCH + 16), first).astype(np.uint32)
+        raw = data[:-3] | data[1:-2] << np.uint32(8) | data[2:-1] << np.uint32(16) | data[3:] << np.uint32(24)
+        end = min(8 * (len(raw) - 12), bits.end - 8 * first)
+        if end <= bits.at & 7:
+            raise ValueError("the stream ends too soon")
+        window = ((raw[: (end + 7) >> 3, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(green.mask)).ravel()[:end]
+        symbols, steps = green.symbols[window], green.lengths[window].copy()
+        refer = np.flatnonzero(symbols >= 256) if green.highest >= 256 else np.zeros(0, np.int64)
+        if len(refer):
+            n = _extra_bits(symbols[refer].astype(np.int64) - 256)
+            at = refer + steps[refer] + n
+            if distance.single is not None:
+                far, used = np.full(len(at), distance.single), 0
+            else:
+                window = _windows(raw, at) & np.uint32(distance.mask)
+                far, used = distance.symbols[window].astype(np.int64), distance.lengths[window]
+            steps[refer] = steps[refer] + n + used + _extra_bits(far)
+        at = _followed(steps, bits.at & 7, end)
+        got = symbols[at].astype(np.int64)
+        pixels = np.ones(len(at), np.int64)
+        some = np.flatnonzero(got >= 256)
+        if len(some):
+            p, s = at[some], got[some] - 256
+            p = p + green.lengths[_windows(raw, p) & np.uint32(green.mask)]
+            n = _extra_bits(s)
+            pixels[some] = _prefixed_values(s, _windows(raw, p) & ((1 << n) - 1).astype(np.uint32))
+            p = p + n
+            if distance.single is not None:
+                far, used = np.full(len(p), distance.single), 0
+            else:
+                window = _windows(raw, p) & np.uint32(distance.mask)
+                far, used = distance.symbols[window].astype(np.int64), distance.lengths[window]
+            n = _extra_bits(far)
+            d = _prefixed_values(far, _windows(raw, p + used) & ((1 << n) - 1).astype(np.uint32))
+            back.append(np.where(d > len(NEAR), d - len(NEAR), near_distances(width)[np.minimum(d, len(NEAR))]))
+        ends = done + np.cumsum(pixels)
+        last = int(np.searchsorted(ends, total))
+        if last < len(ends):  # what follows is no code any more
+            at, got, pixels, ends = at[: last + 1], got[: last + 1], pixels[: last + 1], ends[: last + 1]
+            if len(some):
+                back[-1] = back[-1][: int(np.searchsorted(some, last, "right"))]
+        elif 8 * first + end >= bits.end:
             raise ValueError("the stream ends too soon")
+        literal.append(got)
+        place.append(ends - pixels)
+        length.append(pixels)
+        done = int(ends[-1])
+        bits.at = 8 * first + int(at[-1]) + int(steps[at[-1]])
+    if done > total:
+        raise ValueError("a reference leaves the image")
+    if bits.at > bits.end:
+        raise ValueError("the stream ends too soon")
+    got, start, pixels = np.concatenate(literal), np.concatenate(place), np.concatenate(length)
+    if not back:
+        return got.astype(np.uint32)
+    out, refer = np.zeros(total, np.uint32), got >= 256
+    out[start[~refer]] = got[~refer]
+    far, n, begin = np.concatenate(back), pixels[refer], start[refer]
+    if (far > begin).any():
+        raise ValueError("a reference leaves the image")
+    copied = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    source = np.arange(total)
+    source[copied] = copied - np.repeat(far, n)
+    while True:  # every round doubles how many copies of copies are followed
+        further = source[source[copied]]
+        if np.array_equal(further, source[copied]):
+            break
+        source[copied] = further
+    out[copied] = out[source[copied]]
     return out
 
 
@@ -302,10 +393,14 @@ def _read_pixels(bits: BitReader, width: int, height: int, main: bool) -> np.nda
         groups = int(meta.max()) + 1
     cache_size = (1 << cache_bits) if cache_bits else 0
     codes = [[read_prefix_code(bits, n) for n in (256 + LENGTH_CODES + cache_size, 256, 256, 256, DISTANCE_CODES)] for _ in range(groups)]
-    if groups == 1 and not cache_bits and codes[0][0].highest < 256 and all(c.single is not None for c in codes[0][1:4]):
-        green = _green_run(bits, codes[0][0], total)
+    if main and groups == 1 and not cache_bits and all(c.single is not None for c in codes[0][1:4]):
+        green = _grey_pixels(bits, codes[0], total, width)
         return green << np.uint32(8) | np.uint32(codes[0][3].single << 24 | codes[0][1].single << 16 | codes[0][2].single)
-    out, cache, cached, at = [0] * total, [0] * cache_size, 0, 0
+    return _pixel_by_pixel(bits, codes, total, width, cache_bits, meta, tile, across if meta is not None else 0)
+
+
+def _pixel_by_pixel(bits: BitReader, codes: list[list[PrefixCode]], total: int, width: int, cache_bits: int, meta: np.ndarray | None, tile: int, across: int) -> np.ndarray:
+    out, cache, cached, at = [0] * total, [0] * (1 << cache_bits if cache_bits else 0), 0, 0
     group = codes[0]
     while at < total:
         if meta is not None:
@@ -402,6 +497,12 @@ def predictor(channels: np.ndarray, modes: np.ndarray, bits: int, invert: bool)
     """Add (or take away) the prediction of each pixel; modes: the mode of each tile."""
     height, width = channels.shape[:2]
     source = channels.astype(np.int64)
+    if invert and (modes == modes.flat[0]).all() and modes.flat[0] in (1, 2):  # all from the left, or from above: sums
+        source[0, 0, 3] += 255
+        first = 0 if modes.flat[0] == 1 else 1
+        edge = (slice(None), 0) if first == 0 else (0, slice(None))
+        source[edge] = np.cumsum(source[edge], 0)
+        return np.cumsum(source, 1 - first).astype(np.uint8)
     pixels = source.copy() if invert else source
     out = source.copy()
     for y in range(height):
@@ -493,33 +594,194 @@ def _head(width: int, height: int, alpha: bool) -> BitWriter:
     return bits
 
 
-def encode_grey(samples: np.ndarray) -> bytes:
-    """height x width 8-bit samples as the green channel of opaque pixels, in one prefix code, without transforms."""
-    height, width = samples.shape
-    bits = _head(width, height, False)
-    for _ in range(3):  # no transform, no colour cache, no meta codes
-        bits.write(0, 1)
-    flat = samples.ravel()
-    lengths = limited_lengths(np.bincount(flat, minlength=256).tolist()) + [0] * LENGTH_CODES
+def references(data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Back-references (start, length, distance) for arrays of bytes one after the other, doc telling which a byte is of.
+
+    Every place is looked up in a sorted list of all strings of LEAST_REFERENCE bytes for the place before it that has
+    the same string. Neighbours at one distance are one run; runs are taken from left to right as far as nothing covers
+    them, with LEAST_REFERENCE pixels at least. Blocks of BLOCK bytes are searched each for themselves.
+    """
+    blocks = [_block_references(data[at : at + BLOCK], doc[at : at + BLOCK]) for at in range(0, max(len(data), 1), BLOCK)]
+    if len(blocks) == 1:
+        return blocks[0]
+    return np.concatenate([b[0] + k * BLOCK for k, b in enumerate(blocks)]), np.concatenate([b[1] for b in blocks]), np.concatenate([b[2] for b in blocks])
+
+
+def _block_references(data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(data) - LEAST_REFERENCE + 1
+    if n < 2:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    key = np.zeros(n, np.uint64)
+    for k in range(LEAST_REFERENCE):
+        key |= data[k : n + k].astype(np.uint64) << np.uint64(8 * k)
+    mixed = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    order = np.argsort((mixed & np.uint64(0xFFFF)).astype(np.uint16), kind="stable")
+    order = order[np.argsort((mixed >> np.uint64(16)).astype(np.uint16)[order], kind="stable")]
+    sorted_keys, own = key[order], doc[order]
+    same = np.flatnonzero((sorted_keys[1:] == sorted_keys[:-1]) & (own[1:] == own[:-1]))
+    far = np.zeros(n, np.int64)
+    far[order[same + 1]] = order[same + 1] - order[same]
+    far[(doc[:n] != doc[LEAST_REFERENCE - 1 :]) | (far > MAX_DISTANCE)] = 0
+    change = np.flatnonzero(np.diff(far, prepend=-1))
+    run = far[change]
+    low, high = change[run > 0].tolist(), np.append(change[1:], n)[run > 0].tolist()
+    starts, lengths, distances, covered = [], [], [], 0
+    for a, b, d in zip(low, high, run[run > 0].tolist(), strict=True):
+        if a < covered:
+            a = covered
+        if a < b:
+            covered = b + LEAST_REFERENCE - 1
+            starts.append(a)
+            lengths.append(covered - a)
+            distances.append(d)
+    out = [np.array(x, np.int64) for x in (starts, lengths, distances)]
+    while (out[1] > MAX_REFERENCE).any():
+        long = out[1] > MAX_REFERENCE
+        rest = out[1][long] - MAX_REFERENCE
+        keep = rest >= 1
+        more = [out[0][long][keep] + MAX_REFERENCE, rest[keep], out[2][long][keep]]
+        out[1] = np.minimum(out[1], MAX_REFERENCE)
+        out = [np.concatenate([x, y]) for x, y in zip(out, more, strict=True)]
+    at = np.argsort(out[0], kind="stable")
+    return out[0][at], out[1][at], out[2][at]
+
+
+def _entropy_bits(counts: np.ndarray) -> float:
+    some = counts[counts > 0]
+    total = some.sum()
+    return float((some * np.log2(total / some)).sum()) if len(some) > 1 else 0.0
+
+
+def _symbols_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths or distances as prefix symbols, extra bits and their numbers."""
+    v = values - 1
+    high = np.frexp(np.maximum(v, 1).astype(np.float64))[1].astype(np.int64) - 1
+    n = np.where(v < 4, 0, high - 1)
+    return np.where(v < 4, v, 2 * high + ((v >> np.maximum(high - 1, 0)) & 1)), np.where(v < 4, 0, v & ((1 << np.maximum(n, 0)) - 1)), n
+
+
+def _write_grey(bits: BitWriter, flat: np.ndarray, width: int, found: tuple[np.ndarray, np.ndarray, np.ndarray], alpha: int) -> tuple[np.ndarray, bool]:
+    """All bits of a stream that goes on with these samples as the green channel, with the references where they shorten
+    it; and whether they do."""
+    plain = np.bincount(flat, minlength=256)
+    worth = found[1] * (_entropy_bits(plain) / len(flat)) >= REFERENCE_BITS
+    start, length, far = (x[worth] for x in found)
+    use = len(start) > 0
+    if use:
+        near = np.zeros(int(max(far.max(), near_distances(width).max())) + 1, np.int64)
+        near[near_distances(width)[:0:-1]] = np.arange(len(NEAR), 0, -1)
+        code = np.where(near[far] > 0, near[far], far + len(NEAR))
+        s1, e1, n1 = _symbols_of(length)
+        s2, e2, n2 = _symbols_of(code)
+        edge = np.zeros(len(flat) + 1, np.int64)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + length, -1)
+        literal = np.cumsum(edge[:-1]) == 0
+        counts = np.bincount(flat[literal], minlength=256 + LENGTH_CODES) + np.bincount(256 + s1, minlength=256 + LENGTH_CODES)
+        distances = np.bincount(s2, minlength=DISTANCE_CODES)
+        use = _entropy_bits(counts) + _entropy_bits(distances) + int(n1.sum() + n2.sum()) + CODE_BITS < _entropy_bits(plain)
+    if not use:
+        counts, distances = plain, np.zeros(DISTANCE_CODES, np.int64)
+    bits.write(0, 1)  # no colour cache
+    bits.write(0, 1)  # no meta codes
+    lengths = limited_lengths(counts.tolist()) + [0] * (256 + LENGTH_CODES - len(counts))
+    if sum(map(bool, lengths)) == 1 and lengths.index(1) >= 256:
+        lengths[0] = 1
+    far_lengths = limited_lengths(distances.tolist())
     write_prefix_code(bits, lengths)
-    for only in (0, 0, 255, 0):
+    for only in (0, 0, alpha):
         row = [0] * 256
         row[only] = 1
         write_prefix_code(bits, row)
-    if sum(map(bool, lengths)) <= 1:
-        return _file(bits.bits())
-    codes = np.zeros(256, np.uint32)
+    write_prefix_code(bits, far_lengths)
+    codes, sizes = _code_table(lengths)
+    if use:
+        far_codes, far_sizes = _code_table(far_lengths)
+        token = literal.copy()
+        token[start] = True
+        at = np.flatnonzero(token)
+        value, n = codes[flat[at]], sizes[flat[at]]
+        place = np.searchsorted(at, start)
+        v, k = codes[256 + s1], sizes[256 + s1]
+        for more, width_of in ((e1.astype(np.uint64), n1), (far_codes[s2], far_sizes[s2]), (e2.astype(np.uint64), n2)):
+            v = v | more << k.astype(np.uint64)
+            k = k + width_of
+        value[place], n[place] = v, k
+    else:
+        value, n = codes[flat], sizes[flat]
+    parts = [bits.bits()]
+    for at in range(0, len(value), 1 << 18):
+        some, width_of = value[at : at + (1 << 18)], n[at : at + (1 << 18)]
+        ends = np.cumsum(width_of)
+        shift = np.arange(ends[-1]) - np.repeat(ends - width_of, width_of)
+        parts.append(((np.repeat(some, width_of) >> shift.astype(np.uint64)) & np.uint64(1)).astype(np.uint8))
+    return np.concatenate(parts), bool(use)
+
+
+def _code_table(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and their sizes by symbol; a single symbol takes no bits."""
+    codes, sizes = np.zeros(len(lengths), np.uint64), np.array(lengths, np.int64)
+    if (sizes > 0).sum() <= 1:
+        return codes, np.zeros(len(lengths), np.int64)
     for s, code in canonical_codes(lengths).items():
         codes[s] = code
-    sizes = np.array(lengths[:256], np.int64)
-    parts = [bits.bits()]
-    for at in range(0, len(flat), 1 << 18):
-        some = flat[at : at + (1 << 18)]
-        n = sizes[some]
-        ends = np.cumsum(n)
-        shift = np.arange(ends[-1]) - np.repeat(ends - n, n)
-        parts.append(((np.repeat(codes[some], n) >> shift.astype(np.uint32)) & np.uint32(1)).astype(np.uint8))
-    return _file(np.concatenate(parts))
+    return codes, sizes
+
+
+def _differences(samples: np.ndarray, mode: int) -> np.ndarray:
+    """Samples without what predictor mode 1 (left) or 2 (above) foretells."""
+    out = samples.copy()
+    if mode == 1:
+        out[:, 1:] -= samples[:, :-1]
+        out[1:, 0] -= samples[:-1, 0]
+    else:
+        out[1:] -= samples[:-1]
+        out[0, 1:] -= samples[0, :-1]
+    return out
+
+
+def encode_grey(samples: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[bytes, list[str]]:
+    """height x width 8-bit samples as the green channel of opaque pixels, and which features the file uses.
+
+    found: what references() gives for the samples. Of the plain samples, a palette of at most 16 values with bundled
+    pixels, and the differences to the left or to above, the one with the least entropy is written.
+    """
+    height, width = samples.shape
+    flat = samples.ravel()
+    counts = np.bincount(flat, minlength=256)
+    colours = np.flatnonzero(counts)
+    bits, used = _head(width, height, False), []
+    if len(colours) <= 16 and len(flat) > 64:
+        used.append("palette")
+        bits.write(1, 1)
+        bits.write(PALETTE, 2)
+        bits.write(len(colours) - 1, 8)
+        table = (colours.astype(np.uint32) << np.uint32(8)) | np.uint32(OPAQUE_BLACK)
+        _write_pixels(bits, _flat(np.diff(_channels(table, len(table))[0], axis=0, prepend=np.zeros((1, 4), np.uint8))), len(table), 0, False, None, 0)
+        pack = _bundle_bits(len(colours))
+        each, wide = 8 >> pack, (width + (1 << pack) - 1) >> pack
+        index = np.searchsorted(colours, samples).astype(np.uint8)
+        index = np.pad(index, ((0, 0), (0, (wide << pack) - width))).reshape(height, wide, 1 << pack)
+        flat, width, found = (index << (each * np.arange(1 << pack, dtype=np.uint8))).sum(-1).astype(np.uint8).ravel(), wide, None
+    else:
+        best = _entropy_bits(counts) - CODE_BITS
+        for mode in (1, 2):
+            other = _differences(samples, mode)
+            if (cost := _entropy_bits(np.bincount(other.ravel(), minlength=256))) < best:
+                best, flat, found, used = cost, other.ravel(), None, ["predictor"]
+                chosen = mode
+        if used:
+            tile = 9  # the widest tiles
+            shape = (height + (1 << tile) - 1) >> tile, (width + (1 << tile) - 1) >> tile
+            bits.write(1, 1)
+            bits.write(PREDICTOR, 2)
+            bits.write(tile - 2, 3)
+            _write_pixels(bits, np.full(shape[0] * shape[1], chosen << 8 | OPAQUE_BLACK, np.uint32), shape[1], 0, False, None, 0)
+    bits.write(0, 1)  # no more transforms
+    if found is None:
+        found = references(flat, np.zeros(len(flat), np.int8))
+    stream, refers = _write_grey(bits, flat, width, found, 0 if "predictor" in used else 255)
+    return _file(stream), used + ["references"] * refers
 
 
 def encode(
