@@ -15,6 +15,8 @@ from veldt.plans import ast
 from veldt.plans.lexer import DialectError, statements
 from veldt.plans.parser import parse
 from veldt.session import Engine
+from veldt.sources.files import write_text
+from veldt.sources.snapshots import new_path
 
 VERSION = "0.1"
 
@@ -99,7 +101,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     engine = Engine(session(), os.getcwd(), read_only=a.read_only, stdin=(f"file://{os.path.abspath(a.input)}" if a.input and "://" not in a.input else a.input) or ("/dev/stdin" if text and not sys.stdin.isatty() else None))
     if engine.stdin == "/dev/stdin" and "stdin" in text:
-        engine.stdin = _spooled()
+        engine.stdin = _spooled(engine)
     form = a.format or ("box" if sys.stdout.isatty() else "csv")
     try:
         if not text:
@@ -116,10 +118,8 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
-def _spooled() -> str:
-    """Standard input in a file, so that it can be read more than once."""
-    import tempfile
-
-    with tempfile.NamedTemporaryFile("w", suffix=".txt", delete=False) as f:
-        f.write(sys.stdin.read())
-    return f"file://{f.name}"
+def _spooled(engine: Engine) -> str:
+    """Standard input in a file that executors can read, and more than once."""
+    path = f"{new_path(engine.spark)}.txt"
+    write_text(engine.spark, path, sys.stdin.read())
+    return path

@@ -17,6 +17,7 @@ HYPHENS = "‐‑‒–—―−"
 
 DATETIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
 ISO = r"^\+?0*(\d{4})-(\d{2})-(\d{2})"
+FAR = r"^([+-])0*(\d{4,6})-(\d{2})-(\d{2})"
 NAMED = r"^(\d{1,2})[- ]([A-Za-z]{3})[- ](\d{4})"
 ORDINAL = r"^(\d{4})-(\d{3})(?!\d)"
 WEEK = r"^(\d{4})-?W(\d{2})-?([1-7])"
@@ -42,6 +43,11 @@ def parse_date(text: str) -> dt.date | None:
     return None
 
 
+def is_far(text: str) -> bool:
+    """Whether a constant is a date with a sign, which Python's dates may not hold."""
+    return bool(re.match(FAR, text.translate({ord(h): "-" for h in HYPHENS}))) and parse_date(text) is None
+
+
 def parse_datetime(text: str) -> dt.datetime | None:
     try:
         return dt.datetime.strptime(text[:19], "%Y-%m-%dT%H:%M:%S") if re.match(DATETIME, text) else None
@@ -76,8 +82,12 @@ def date_of_text(column: Column) -> Column:
     first = _try_date(F.when(part(ORDINAL, 1) != "", part(ORDINAL, 1)).otherwise(F.lit("2000")), F.lit("1"), F.lit("1"))
     ordinal = F.date_add(first, F.when(part(ORDINAL, 2) != "", part(ORDINAL, 2)).otherwise(F.lit("1")).cast("int") - 1)
     ordinal = F.when((F.year(ordinal) == F.year(first)) & (part(ORDINAL, 2) != "000"), ordinal)
+    whole = lambda k: part(FAR, k).try_cast("int")
+    year = F.when(part(FAR, 1) == "-", -whole(2)).otherwise(whole(2))
+    far = F.try_make_timestamp_ntz(year, whole(3), whole(4), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)")).cast("date")
     return (
         F.when(x.rlike(ISO), _try_date(part(ISO, 1), part(ISO, 2), part(ISO, 3)))
+        .when(x.rlike(FAR), far)
         .when(x.rlike(NAMED), named)
         .when(x.rlike(WEEK), in_week)
         .when(x.rlike(ORDINAL), ordinal)
@@ -95,7 +105,8 @@ def seconds_of_text(column: Column) -> Column:
 
 
 def format_date(d: Column) -> Column:
-    return F.date_format(d, "yyyy-MM-dd")
+    """Years before 0 with a sign, as they are written in constants."""
+    return F.when(F.year(d) < 0, F.concat(F.lit("-"), _year4(-F.year(d)), F.date_format(d, "-MM-dd"))).otherwise(F.date_format(d, "yyyy-MM-dd"))
 
 
 def format_datetime(d: Column) -> Column:

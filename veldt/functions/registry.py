@@ -26,17 +26,14 @@ def _bytes_out(v: Value, column: Column) -> Value:
 
 
 def _left(v: Value, n: Value) -> Value:
-    """Of text files the first bytes, of typed strings the first characters."""
-    if v.kind == "text":
-        return _bytes_out(v, F.substring(v.column.cast("binary"), F.lit(1), V.int_column(n).cast("int")))
-    return Value(F.left(V.to_text(v).column, V.int_column(n).cast("int")), "string")
+    """The first bytes, as LENGTH counts them."""
+    return _bytes_out(v, F.substring(V.to_text(v).column.cast("binary"), F.lit(1), F.greatest(V.int_column(n).cast("int"), F.lit(0))))
 
 
 def _right(v: Value, n: Value) -> Value:
-    if v.kind == "text":
-        raw, k = v.column.cast("binary"), V.int_column(n).cast("int")
-        return _bytes_out(v, F.substring(raw, F.greatest(F.octet_length(raw) - k + 1, F.lit(1)), F.greatest(k, F.lit(0))))
-    return Value(F.right(V.to_text(v).column, V.int_column(n).cast("int")), "string")
+    """The last bytes."""
+    raw, k = V.to_text(v).column.cast("binary"), V.int_column(n).cast("int")
+    return _bytes_out(v, F.substring(raw, F.greatest(F.octet_length(raw) - k + 1, F.lit(1)), F.greatest(k, F.lit(0))))
 
 
 def _chr(n: Value) -> Value:
@@ -77,12 +74,14 @@ def _cast_int(v: Value) -> Value:
 
 
 def _pow(a: Value, b: Value) -> Value:
-    """Exact for whole numbers; a negative exponent gives 0."""
+    """Exact for whole numbers, null beyond 64 bits; a negative exponent gives 0."""
     if "double" in (a.kind, b.kind):
         return Value(F.pow(V.as_kind(a, "double"), V.as_kind(b, "double")), "double")
     x, n = V.int_column(a), V.int_column(b)
-    fold = F.aggregate(F.array_repeat(x, F.greatest(n, F.lit(0)).cast("int")), F.lit(1).cast("long"), lambda p, y: p * y)
-    return Value(F.when(n < 0, F.lit(0).cast("long")).when(x.isNotNull(), fold), "int")
+    one = F.lit(1).cast("long")
+    fold = F.aggregate(F.array_repeat(x, F.least(F.greatest(n, F.lit(0)), F.lit(63)).cast("int")), one, F.try_multiply)
+    steady = F.when(n == 0, one).when(x == -1, 1 - 2 * (n % 2)).otherwise(x)
+    return Value(F.when(n < 0, F.lit(0).cast("long")).when(x.between(-1, 1), steady).when(n <= 63, fold), "int")
 
 
 def _date_shift(sign: int):

@@ -64,7 +64,7 @@ def kinds(v: Value) -> tuple[str, ...]:
     if v.kind == "string" and v.is_const:
         if D.parse_datetime(v.const):
             return ("datetime", "date", "string")
-        if D.parse_date(v.const):
+        if D.parse_date(v.const) or D.is_far(v.const):
             return ("date", "string")
         if D.parse_time(v.const) is not None:
             return ("time", "string")
@@ -97,7 +97,7 @@ def as_kind(v: Value, kind: str) -> Column:
             if kind == "datetime":
                 return F.lit(D.parse_datetime(v.const)).cast("timestamp_ntz")
             if kind == "date":
-                return F.lit(D.parse_date(v.const))
+                return date_column(v)
             if kind == "time":
                 return F.lit(D.parse_time(v.const)).cast("long")
             return F.lit(int(v.const) if kind == "int" else float(v.const)).cast("long" if kind == "int" else "double")
@@ -142,7 +142,8 @@ def date_column(v: Value) -> Column:
     if v.kind == "text" or (v.kind == "string" and not v.is_const):
         return D.date_of_text(v.column)
     if v.kind == "string":
-        return F.lit(D.parse_date(str(v.const))).cast("date")
+        day = D.parse_date(str(v.const))
+        return D.date_of_text(F.lit(v.const)) if day is None else F.lit(day.isoformat()).cast("date")
     return v.column.cast("date") if v.kind in ("date", "datetime") else F.lit(None).cast("date")
 
 
@@ -161,7 +162,8 @@ def int_column(v: Value) -> Column:
     if v.kind == "bool":
         return v.column.cast("long")
     if v.kind in ("text", "string"):
-        return F.when(v.column.rlike(NUMBER_TEXT), F.trim(v.column).try_cast("double").cast("long"))
+        clean = F.trim(v.column)
+        return F.when(v.column.rlike(INT_TEXT), clean.try_cast("long")).when(v.column.rlike(NUMBER_TEXT), clean.try_cast("double").try_cast("long"))
     return F.lit(None).cast("long")
 
 

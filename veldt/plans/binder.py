@@ -21,6 +21,10 @@ from veldt.plans import ast
 from veldt.plans.lexer import DialectError
 from veldt.sources import generated
 from veldt.sources.relation import Relation, numbered
+from veldt.sources.snapshots import snapshot
+
+#: Output rows of a LIMIT that one task numbers.
+WINDOW_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -74,15 +78,15 @@ class Binder:
         if not sources and (q.items is None or any(isinstance(x, ast.Name | ast.Star) for x in ast.walk((*[i.expr for i in q.items], q.where)))):
             sources = [ast.Source("stdin")]
         self.sources, self.entries = sources, []
-        relations = [self.relation(s) for s in sources]
+        named_where, index_order, copies = self._explicit_index(q.where)
+        relations = [copies.get(s.name) or self.relation(s) for s in sources]
         for i, (source, relation) in enumerate(zip(sources, relations, strict=True)):
             names = list(relation.names)
             if source.columns:
                 names[: len(source.columns)] = source.columns
             self.entries += [Entry(i, n, k, f"t{i}_{j}", o) for j, (n, k, o) in enumerate(zip(names, relation.kinds, relation.names, strict=True))]
         aliases = {i.alias: i.expr for i in q.items or () if i.alias and not self._spreads(i.expr)}
-        where, index_order = self._explicit_index(q.where)
-        where = tuple(c for p in where for c in ast.conjuncts(self.resolve(p, aliases, first=True)))
+        where = tuple(c for p in named_where for c in ast.conjuncts(self.resolve(p, aliases, first=True)))
         on = [tuple(c for p in s.on for c in ast.conjuncts(self.resolve(p, {}, upto=i))) for i, s in enumerate(sources)]
         items = self._items(q)
         group = tuple(self.resolve(g, aliases, first=False) for g in q.group)
@@ -104,20 +108,24 @@ class Binder:
         """Whether an item becomes a column for each field: a star, or a function of one."""
         return isinstance(expr, ast.Star) or isinstance(expr, ast.Call) and expr.name != "COUNT" and any(isinstance(a, ast.Star) for a in expr.args)
 
-    def _explicit_index(self, where: tuple) -> tuple[tuple, tuple[str, ...]]:
-        """INDEX('f') op v and UNIQUE('f') op v stand for the index's first column, and order rows by the index."""
+    def _explicit_index(self, where: tuple) -> tuple[tuple, tuple[str, ...], dict[str, Relation]]:
+        """INDEX('f') op v and UNIQUE('f') op v stand for the index's first column, order rows by the index, and let the
+        table's sorted copy stand for it, whose statistics leave few files to read."""
         order: tuple[str, ...] = ()
+        copies: dict[str, Relation] = {}
 
         def change(node):
             nonlocal order
             if isinstance(node, ast.Call) and node.name in ("INDEX", "UNIQUE"):
                 if len(node.args) != 1 or not isinstance(node.args[0], ast.Literal):
                     raise DialectError(f"{node.name} takes the name of an index")
-                order = self.engine.index_columns(str(node.args[0].value))
+                name = str(node.args[0].value)
+                order = self.engine.index_columns(name)
+                copies.update(self.engine.index_copy(name))
                 return ast.Name(order[0])
             return None
 
-        return ast.rewrite(where, change), order
+        return ast.rewrite(where, change), order, copies
 
     def relation(self, source: ast.Source) -> Relation:
         if source.values is not None:
@@ -231,8 +239,9 @@ class Binder:
             if relation.generated:
                 side = self._generated(i, relation, inside, q)
             else:
-                side = relation.df.toDF(*[f"t{i}_{j}" for j in range(len(relation.names))])
-                if i in self.rowids:
+                names = [f"t{i}_{j}" for j in range(len(relation.names))]
+                side = relation.df.toDF(*names, *[f"t{i}_rowid"] * bool(relation.rowid))
+                if i in self.rowids and not relation.rowid:
                     side = numbered(side, f"t{i}_rowid")
             if df is None:
                 df = side
@@ -424,7 +433,7 @@ class Binder:
         if q.limit is not None:
             df = df.limit(q.limit)
         if any(late):
-            df = self._row_numbers(df, keys_out, q.limit is not None)
+            df = self._row_numbers(df, keys_out, q.limit)
             numbers = {k: self._shown(self.value(n, {})) for k, (_, n) in enumerate(items) if late[k]}
             shown = [numbers.get(k, v) for k, v in enumerate(shown)]
             df = df.select(*[numbers[k].column.alias(f"c{k}") if k in numbers else F.col(f"c{k}") for k in range(len(items))])
@@ -433,14 +442,14 @@ class Binder:
         return Bound(df, tuple(n for n, _ in items), tuple(v.kind for v in shown), bool(keys_out))
 
     @staticmethod
-    def _row_numbers(df: DataFrame, keys: list[Column], limited: bool) -> DataFrame:
-        """1-based numbers of output rows. Limited results are few; others are numbered by partition, without moving rows."""
-        if limited:
+    def _row_numbers(df: DataFrame, keys: list[Column], limit: int | None) -> DataFrame:
+        """1-based numbers of output rows. A small limit leaves few rows for one task; others are written as they stand and
+        numbered by file, so that no row moves and a lost executor changes nothing."""
+        if limit is not None and limit <= WINDOW_ROWS:
             order = keys or [F.monotonically_increasing_id()]
             return df.withColumn("row_number", F.row_number().over(Window.orderBy(*order)).cast("long"))
-        if keys:
-            df = df.persist()  # range partitions of a sort must not be drawn twice
-        return numbered(df, "row_number").withColumn("row_number", F.col("row_number") + 1)
+        names = df.columns
+        return numbered(snapshot(df).toDF(*names), "row_number").withColumn("row_number", F.col("row_number") + 1)
 
     @staticmethod
     def _shown(v: Value) -> Value:

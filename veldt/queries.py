@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import csv
+import html
+import io
+import json
+import re
 import uuid
 from collections.abc import Callable
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veldt import sinks
 from veldt.session import Engine
+from veldt.sources import files
 from veldt.sources.snapshots import folder
 
 TABLES = tuple("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
@@ -197,6 +205,32 @@ QUERIES: dict[str, tuple[str, str]] = {
     "insert_into": ("CREATE TEMP TABLE t AS FROM SEQUENCE LIMIT 2; INSERT INTO t VALUES (14), (15), (16); TABLE t", "SELECT unnest([0, 1, 14, 15, 16]) AS value"),
     "view_query": ("CREATE VIEW v AS FROM supplier WHERE s_acctbal > 5000 SELECT s_suppkey, s_nationkey; FROM v, nation ON s_nationkey = n_nationkey SELECT s_suppkey, n_name", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 5000"),
     "explicit_index": ("CREATE INDEX ON customer (c_mktsegment, c_custkey); FROM customer WHERE INDEX('customer__c_mktsegment__c_custkey.index') = 'BUILDING' SELECT c_custkey", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'"),
+    "information": (
+        "FROM INFORMATION WHERE name = 'nation'",
+        "SELECT 'nation' AS \"table\", (SELECT count(*) FROM nation) AS records, 3 AS fields, position, field, kind FROM (VALUES (0, 'n_nationkey', 'int'), (1, 'n_name', 'string'), (2, 'n_regionkey', 'int')) v(position, field, kind)",
+    ),
+    "drop": ("CREATE TEMP TABLE t AS FROM region; DROP t; LOCK t; CREATE TEMP TABLE t AS FROM nation WHERE n_regionkey = 1; FROM t SELECT n_name", "SELECT n_name FROM nation WHERE n_regionkey = 1"),
+    "sample_shape": ("FROM SAMPLE SELECT COUNT(*) AS n, MIN(score) AS low, MAX(score) AS high, MIN(id) AS first", "SELECT 1000 AS n, 0 AS low, 99 AS high, 0 AS first"),
+    "insert_twice": (
+        "CREATE TEMP TABLE t AS FROM region SELECT r_regionkey AS k; INSERT INTO t VALUES (70), (60); INSERT INTO t VALUES (50); FROM t SELECT rowid AS r, k",
+        "SELECT r_regionkey AS r, r_regionkey AS k FROM region UNION ALL SELECT * FROM (VALUES (5, 70), (6, 60), (7, 50))",
+    ),
+    "index_copy_rowid": (
+        "CREATE INDEX ON nation (n_regionkey); FROM nation WHERE INDEX('nation__n_regionkey.index') = 2 SELECT rowid AS r, n_name",
+        "SELECT n_nationkey AS r, n_name FROM nation WHERE n_regionkey = 2",
+    ),
+    "row_number_large_limit": ("FROM lineitem ORDER BY l_orderkey LIMIT 200000000 SELECT ROW_NUMBER() AS r, l_orderkey", "SELECT row_number() OVER (ORDER BY l_orderkey) AS r, l_orderkey FROM lineitem"),
+    "values_digits": ("VALUES (1234567.25, 0.1234567), (2.0, 1.5)", "SELECT * FROM (VALUES ('1234567.25', '0.1234567'), ('2', '1.5')) v(col1, col2)"),
+    "fn_bytes_left_right": ("SELECT HEX(LEFT('née', 2)) AS l, HEX(RIGHT('née', 2)) AS r, HEX(LEFT('abc', 1)) AS a, RIGHT('abc', 9) AS whole", "SELECT '6EC3' AS l, 'A965' AS r, '61' AS a, 'abc' AS whole"),
+    "fn_pow_large": (
+        "SELECT POW(1, 400000000) AS one, POW(2, 62) AS big, POW(3, 64) AS beyond, POW(0 - 1, 7) AS odd, POW(0, 0) AS zero, POW(n_nationkey, 3) AS cube FROM nation",
+        "SELECT 1 AS one, 4611686018427387904 AS big, NULL::BIGINT AS beyond, -1 AS odd, 1 AS zero, n_nationkey::BIGINT * n_nationkey * n_nationkey AS cube FROM nation",
+    ),
+    "fn_hex_large": ("SELECT TO_HEX('9007199254740993') AS hex, CAST('9007199254740993' AS INT) + 0 AS n", "SELECT '0x20000000000001' AS hex, 9007199254740993 AS n"),
+    "fn_signed_years": (
+        "SELECT DATE_ADD('-0044-03-15', 1) || '' AS next, EXTRACT(YEAR FROM '-0044-03-15') AS y, EXTRACT(YEAR FROM '+12024-01-02') AS far, DATE_DIFF('0001-01-01', '-0001-01-01') AS days",
+        "SELECT '-0044-03-16' AS next, -44 AS y, 12024 AS far, 731 AS days",
+    ),
     "unique_index": ("CREATE UNIQUE INDEX ON orders (o_orderkey); FROM orders WHERE UNIQUE('orders__o_orderkey.unique') >= 100 SELECT o_orderkey LIMIT 5", "SELECT o_orderkey FROM orders WHERE o_orderkey >= 100 ORDER BY o_orderkey LIMIT 5"),
 }
 
@@ -213,10 +247,108 @@ FILE_QUERIES: dict[str, tuple[str, str]] = {
     "create_with_columns": ("CREATE TABLE c (key, label) AS FROM region SELECT r_regionkey, r_name; INSERT INTO c VALUES (9, 'MOON'); FROM c", "SELECT r_regionkey::VARCHAR AS key, r_name AS label FROM region UNION ALL SELECT '9', 'MOON'"),
 }
 
+
+def _nations(engine: Engine) -> list:
+    return engine.relation("nation").df.orderBy("n_nationkey").collect()
+
+
+def _wsv(engine: Engine) -> None:
+    """White-space separated nations, and a row that reads as the header does."""
+    lines = ["k  name\tregion", *[f" {r[0]}   {r[1]} \t{r[2]}" for r in _nations(engine)], "k name region"]
+    files.write_text(engine.spark, engine.path("n.wsv"), "\n".join(lines))
+
+
+def _col(engine: Engine) -> None:
+    """Fixed widths, and a row that is the header line again."""
+    head = f"{'k':<5}{'name':<24}region"
+    lines = [head, *[f"{r[0]:<5}{r[1]:<24}{r[2]}" for r in _nations(engine)], head]
+    files.write_text(engine.spark, engine.path("n.col"), "\r\n".join(lines))
+
+
+def _stdin(engine: Engine) -> None:
+    engine.stdin = engine.path("input.txt")
+    files.write_text(engine.spark, engine.stdin, "k,name\n" + "".join(f'{r[0]},"{r[1]}, {r[2]}"\n' for r in _nations(engine)))
+
+
+def _two_files(engine: Engine) -> None:
+    """A table of two Parquet files, of which Spark reads the second first, since it is larger."""
+    fs, table = files.hadoop_path(engine.spark, engine.path("two.parquet"))
+    fs.mkdirs(table)
+    for name, low, high in (("a", 0, 3), ("b", 3, 3000)):
+        engine.spark.range(low, high).coalesce(1).selectExpr("id AS v").write.parquet(engine.path(f"one-{name}"))
+        _, written = files.hadoop_path(engine.spark, engine.path(f"one-{name}"))
+        part = next(x.getPath() for x in fs.listStatus(written) if x.getPath().getName().startswith("part"))
+        fs.rename(part, files.hadoop_path(engine.spark, engine.path(f"two.parquet/{name}.parquet"))[1])
+
+
+def _listed(engine: Engine) -> None:
+    for name, text in (("x.txt", "abc"), ("y.csv", "a\n1\n"), ("z.txt", "")):
+        files.write_text(engine.spark, engine.path(f"listed/{name}"), text)
+
+
+NATION_TEXT_SQL = "SELECT n_nationkey::VARCHAR AS k, n_name AS name, n_regionkey::VARCHAR AS region FROM nation UNION ALL SELECT 'k', 'name', 'region'"
+#: Queries over files that are prepared first: name -> (preparation, query, DuckDB SQL).
+PREPARED_QUERIES: dict[str, tuple[Callable[[Engine], None], str, str]] = {
+    "source_wsv": (_wsv, "FROM n.wsv", NATION_TEXT_SQL),
+    "source_col": (_col, "FROM n.col", NATION_TEXT_SQL),
+    "source_stdin": (_stdin, "FROM stdin WHERE k > 20 SELECT name, k + 1 AS next", "SELECT n_name || ', ' || n_regionkey AS name, (n_nationkey + 1)::VARCHAR AS next FROM nation WHERE n_nationkey > 20"),
+    "rowid_two_files": (_two_files, "FROM two.parquet SELECT rowid AS r, v", "SELECT unnest(range(3000)) AS r, unnest(range(3000)) AS v"),
+    "row_number_two_files": (_two_files, "FROM two.parquet ORDER BY v DESC SELECT ROW_NUMBER() AS r, v", "SELECT 3000 - unnest(range(3000)) AS r, unnest(range(3000)) AS v"),
+    "dir_listing": (_listed, "FROM DIR('listed') SELECT name, size", "SELECT * FROM (VALUES ('x.txt', 3), ('y.csv', 4), ('z.txt', 0)) v(name, size)"),
+}
+
+#: What the sinks are held against: labels with the signs that formats must care for.
+SINK_QUERY = "FROM nation SELECT n_nationkey AS k, n_name || ', \"a|b\" <&> it''s ' || n_regionkey AS label"
+SINK_SQL = "SELECT n_nationkey::VARCHAR AS k, n_name || ', \"a|b\" <&> it''s ' || n_regionkey AS label FROM nation"
+
+
+def _sql_rows(text: str) -> list[list[str]]:
+    return [[k, label.replace("''", "'")] for k, label in re.findall(r"\((\d+),'((?:[^']|'')*)'\)", text)]
+
+
+def _lines(text: str, first: int, last: int | None = None) -> list[str]:
+    return text.splitlines()[first:last]
+
+
+#: Output formats, and how their text is read back.
+SINK_READERS: dict[str, Callable[[str], list[list[str]]]] = {
+    "csv": lambda t: list(csv.reader(io.StringIO(t)))[1:],
+    "csv:excel": lambda t: list(csv.reader(io.StringIO(t.removeprefix("﻿"))))[1:],
+    "tsv": lambda t: [x.split("\t") for x in _lines(t, 1)],
+    "table": lambda t: [[c.strip().replace("\\|", "|") for c in re.split(r"(?<!\\)\|", x)[1:-1]] for x in _lines(t, 2)],
+    "box": lambda t: [[c.strip() for c in x.split("│")[1:-1]] for x in _lines(t, 3, -1)],
+    "html": lambda t: [[html.unescape(c) for c in re.findall(r"<td[^>]*>(.*?)</td>", x)] for x in _lines(t, 0) if "<td" in x],
+    "json:object": lambda t: [[str(x["k"]), x["label"]] for x in json.loads(t)],
+    "json:array": lambda t: [[str(k), label] for k, label in json.loads(t)[1:]],
+    "xml": lambda t: [[x.get("k"), x.get("label")] for x in ElementTree.fromstring(t)],
+    "sql:insert": _sql_rows,
+    "sql:values": _sql_rows,
+    "sql:create": _sql_rows,
+    "record": lambda t: [x.split("\x1f") for x in t.partition("\x02")[2].split("\x1e")[:-1]],
+}
+
+
+def _sink(form: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The text of a result in some format, written to a file and read back as rows of text."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = Engine.over_parquet(spark, sf_dir, TABLES)
+        path = f"{folder(spark)}/sink-{uuid.uuid4().hex}"
+        files.write_text(spark, path, "".join(sinks.render(engine.run(SINK_QUERY), form)))
+        return spark.createDataFrame(SINK_READERS[form](files.read_text(spark, path)), "k string, label string")
+
+    return run
+
+
+def _sink_sql(form: str) -> str:
+    """box cuts what is wider than its cells."""
+    cut = f"CASE WHEN length(label) > {sinks.WIDTH} THEN left(label, {sinks.WIDTH - 1}) || '…' ELSE label END"
+    return SINK_SQL if form != "box" else f"SELECT k, trim({cut}) AS label FROM ({SINK_SQL})"
+
+
 #: Queries without a counterpart in SQL.
 OTHER_QUERIES: dict[str, str] = {
     "explain": "EXPLAIN FROM orders, customer ON o_custkey = c_custkey WHERE c_nationkey = 3 SELECT c_name, o_totalprice",
-    "information": "FROM INFORMATION WHERE name = 'nation'",
     "sample_table": "FROM SAMPLE WHERE score < 50 SELECT id, name, birth_date, score",
     "dir_table": "FROM DIR('region.parquet') SELECT name, size > 0 AS filled",
 }
@@ -226,10 +358,12 @@ def _typed(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: Engine.over_parquet(spark, sf_dir, TABLES).sql(text)
 
 
-def _over_files(text: str) -> Callable[[SparkSession, str], DataFrame]:
+def _over_files(text: str, prepare: Callable[[Engine], None] | None = None) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         engine = Engine.over_parquet(spark, sf_dir, TABLES)
         engine.base = f"{folder(spark)}/files-{uuid.uuid4().hex}"
+        if prepare:
+            prepare(engine)
         return engine.sql(text)
 
     return run
@@ -237,8 +371,11 @@ def _over_files(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     typed = {n: _typed(q) for n, (q, _) in QUERIES.items()}
-    return typed | {n: _over_files(q) for n, (q, _) in FILE_QUERIES.items()} | {n: _typed(q) for n, q in OTHER_QUERIES.items()}
+    typed |= {n: _over_files(q) for n, (q, _) in FILE_QUERIES.items()} | {n: _typed(q) for n, q in OTHER_QUERIES.items()}
+    typed |= {n: _over_files(q, prepare) for n, (prepare, q, _) in PREPARED_QUERIES.items()}
+    return typed | {f"sink_{form.replace(':', '_')}": _sink(form) for form in SINK_READERS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: sql for n, (_, sql) in (QUERIES | FILE_QUERIES).items()}
+    found = {n: sql for n, (_, sql) in (QUERIES | FILE_QUERIES).items()} | {n: sql for n, (_, _, sql) in PREPARED_QUERIES.items()}
+    return found | {f"sink_{form.replace(':', '_')}": _sink_sql(form) for form in SINK_READERS}

@@ -18,23 +18,24 @@ from veldt.plans.lexer import DialectError, statements
 from veldt.plans.parser import Parser, parse
 from veldt.sources import files, generated
 from veldt.sources.relation import Relation, numbered, relation_of
-from veldt.sources.snapshots import snapshot
+from veldt.sources.snapshots import new_path, snapshot
 
 
 class Engine:
     """Runs the dialect on a SparkSession.
 
     base: the folder that file names are relative to. tables: DataFrames by name. multiline: whether line ends may
-    stand in quotes of CSV files (such files can't be split; turn it off for large ones without them). read_only
-    rejects CREATE, INSERT and DROP. stdin: the path of what the name stdin stands for.
+    stand in quotes of CSV files (such files can't be split); by default large files are searched for such lines first.
+    read_only rejects CREATE, INSERT and DROP. stdin: the path of what the name stdin stands for.
     """
 
-    def __init__(self, spark: SparkSession, base: str = ".", tables: dict[str, DataFrame] | None = None, *, multiline: bool = True, read_only: bool = False, stdin: str | None = None):
+    def __init__(self, spark: SparkSession, base: str = ".", tables: dict[str, DataFrame] | None = None, *, multiline: bool | None = None, read_only: bool = False, stdin: str | None = None):
         self.spark, self.base, self.multiline, self.read_only, self.stdin = spark, base, multiline, read_only, stdin
         self.tables: dict[str, Relation] = {n: relation_of(df) for n, df in (tables or {}).items()}
         self.temp: dict[str, Relation] = {}
         self.views: dict[str, str] = {}
-        self.indexes: dict[str, tuple[str, tuple[str, ...]]] = {}
+        self.parts: dict[str, list[str]] = {}  # the folders that hold a temporary table, in order
+        self.indexes: dict[str, tuple[str, tuple[str, ...], str | None]] = {}  # table, key columns, sorted copy
         self.today = dt.datetime.now(dt.timezone.utc).date()
         self.timings: list[tuple[str, float]] = []
 
@@ -112,6 +113,14 @@ class Engine:
             raise DialectError(f"no index {name}")
         return tuple(m[1].split("__"))
 
+    def index_copy(self, name: str) -> dict[str, Relation]:
+        """The table that an index is on, as the index's sorted copy with row numbers; nothing if rows came in since."""
+        on, _, path = self.indexes.get(name, (None, (), None))
+        if path is None:
+            return {}
+        table = self.relation(on)
+        return {on: Relation(self.spark.read.parquet(path), table.names, table.kinds, rowid="rowid")}
+
     # Statements
 
     def sql(self, text: str) -> DataFrame | None:
@@ -133,7 +142,7 @@ class Engine:
             bound = Binder(self).query(node)
             if node.explain:
                 plan = explain(self.spark, bound.df)
-                return Bound(plan.toDF(*[f"c{i}" for i in range(len(plan.columns))]), tuple(plan.columns), ("int",) + ("string",) * 4)
+                return Bound(plan.toDF(*[f"c{i}" for i in range(len(plan.columns))]), tuple(plan.columns), ("int", "string", "string", "string", "int", "int", "string"))
             self.timings.append(("analyse", time.perf_counter() - start))
             return bound
         if isinstance(node, ast.Lock):
@@ -147,6 +156,7 @@ class Engine:
         for place in (self.temp, self.views, self.tables, self.indexes):
             if node.name in place:
                 del place[node.name]
+                self._outdate(node.name)
                 return None
         raise DialectError(f"nothing to drop: {node.name}")
 
@@ -157,8 +167,9 @@ class Engine:
         relation = self.relation(m[1])
         if relation.df is None:
             raise DialectError(f"{m[1]} is generated")
-        rows = relation.df.count()
-        df = self.spark.createDataFrame([(m[1], rows, len(relation.names), i, n, k) for i, (n, k) in enumerate(zip(relation.names, relation.kinds, strict=True))], "c0 string, c1 long, c2 int, c3 int, c4 string, c5 string")
+        fields = self.spark.createDataFrame([(m[1], len(relation.names), i, n, k) for i, (n, k) in enumerate(zip(relation.names, relation.kinds, strict=True))], "c0 string, c2 int, c3 int, c4 string, c5 string")
+        count = relation.df.agg(F.count(F.lit(1)).alias("c1"))  # one row
+        df = fields.crossJoin(F.broadcast(count)).select(*[f"c{i}" for i in range(6)])
         return Bound(df, ("table", "records", "fields", "position", "field", "kind"), ("string", "int", "int", "int", "string", "string"))
 
     def _create(self, node: ast.Create) -> None:
@@ -177,7 +188,8 @@ class Engine:
             if node.name in self.temp:
                 raise DialectError(f"{node.name} exists")
             bound = self._result(node)
-            self.temp[node.name] = Relation(snapshot(bound.df), bound.names, bound.kinds)
+            self.parts[node.name] = [new_path(self.spark)]
+            self.temp[node.name] = Relation(snapshot(bound.df, *self.parts[node.name]), bound.names, bound.kinds)
             return None
         self._write(self._result(node), node.name, "errorifexists")
         return None
@@ -217,16 +229,27 @@ class Engine:
                 raise DialectError("INSERT has another number of columns")
             target = old.df.toDF(*[f"c{i}" for i in range(len(old.names))])
             new = bound.df.select(*[F.col(f"c{i}").cast(f.dataType).alias(f"c{i}") if f.dataType.typeName() != "string" else V.to_text(V.Value(F.col(f"c{i}"), bound.kinds[i])).column.alias(f"c{i}") for i, f in enumerate(target.schema.fields)])
-            self.temp[node.name] = Relation(snapshot(target.union(new)), old.names, old.kinds)
+            # only what is new is written, to a folder whose name sorts behind those of the earlier rows
+            first = self.parts[node.name][0]
+            self.parts[node.name].append(f"{first}_{len(self.parts[node.name]):06}")
+            self.temp[node.name] = Relation(snapshot(new, *self.parts[node.name]), old.names, old.kinds)
+            self._outdate(node.name)
             return None
         old = self.relation(node.name)
         if len(old.names) != len(bound.names):
             raise DialectError("INSERT has another number of columns")
         self._write(Bound(bound.df, old.names, bound.kinds), node.name, "append")
+        self._outdate(node.name)
         return None
 
+    def _outdate(self, table: str) -> None:
+        """Indexes of a table that has new rows keep their key columns, but their copies are read no more."""
+        for name, (on, columns, _) in list(self.indexes.items()):
+            if on.split(".", 1)[0] == table.split(".", 1)[0]:
+                self.indexes[name] = (on, columns, None)
+
     def _create_index(self, node: ast.Create) -> None:
-        """A sorted projection of the key columns and rowid, as Parquet; queries use it for order and key columns."""
+        """A copy of the table sorted by the key columns, with row numbers, as Parquet: INDEX and UNIQUE read it."""
         relation = self.relation(node.on)
         if relation.df is None:
             raise DialectError(f"{node.on} is generated")
@@ -238,11 +261,7 @@ class Engine:
             raise DialectError(f"{', '.join(node.columns)} is not unique")
         kind = "unique" if node.kind == "unique" else "index"
         name = node.name or f"{node.on.rsplit('/', 1)[-1].split('.', 1)[0]}__{'__'.join(node.columns)}.{kind}"
-        df.select(*[k.alias(c) for k, c in zip(keys, node.columns, strict=True)], "rowid").orderBy(*keys).write.mode("overwrite").parquet(f"{self.index_folder()}/{name}.parquet")
-        self.indexes[name] = (node.on, tuple(node.columns))
+        path = new_path(self.spark)
+        df.orderBy(*keys, "rowid").write.parquet(path)
+        self.indexes[name] = (node.on, tuple(node.columns), path)
         return None
-
-    def index_folder(self) -> str:
-        from veldt.sources.snapshots import folder
-
-        return f"{folder(self.spark)}/indexes"

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from veldt.sources.relation import Relation
 
-MAX_COL_FIELDS = 32
+#: A quoted file of up to so many bytes is read by one task, whatever its quotes hold.
+ONE_TASK_BYTES = 64 << 20
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -45,8 +46,21 @@ def _schema(n: int) -> T.StructType:
     return T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)])
 
 
-def read_separated(spark: SparkSession, path: str, sep: str, quoted: bool, multiline: bool = True) -> Relation:
-    """CSV (quotes, doubled quotes, line ends in quotes) and TSV (no quoting). The header line names the columns."""
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted file must be read as a whole: it is small, or some line has an odd number of quotes, as every line
+    has in which a field with a line end begins."""
+    fs, p = hadoop_path(spark, path)
+    if fs.getContentSummary(p).getLength() <= ONE_TASK_BYTES:
+        return True
+    return not spark.read.text(path).where(F.regexp_count("value", F.lit('"')) % 2 == 1).isEmpty()
+
+
+def read_separated(spark: SparkSession, path: str, sep: str, quoted: bool, multiline: bool | None = None) -> Relation:
+    """CSV (quotes, doubled quotes, line ends in quotes) and TSV (no quoting). The header line names the columns.
+
+    multiline: whether line ends may stand in quotes, which keeps a file in one task; None looks into large files."""
+    if multiline is None:
+        multiline = quoted and spans_lines(spark, path)
     options = {"sep": sep, "multiLine": multiline and quoted, "quote": '"' if quoted else "", "escape": '"' if quoted else "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "mode": "PERMISSIVE"}
     head = spark.read.options(**options).csv(path).limit(1).collect()
     names = [re.sub(r'["\r﻿]', "", x or "") for x in (head[0] if head else [])]
@@ -57,11 +71,13 @@ def read_separated(spark: SparkSession, path: str, sep: str, quoted: bool, multi
 
 
 def _lines(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """All lines but the header, and the header: the first line of each file."""
-    lines = spark.read.text(path)
-    first = lines.limit(1).collect()
+    """All lines but the header, and the header: the first line of each file. The CSV reader, which knows where a file
+    begins, reads them as one field each."""
+    first = spark.read.text(path).limit(1).collect()
     header = (first[0][0] if first else "").lstrip("﻿").rstrip("\r")
-    rows = lines.select(F.regexp_replace("value", "[\r﻿]", "").alias("value")).where((F.col("value") != header) & (F.trim("value") != ""))
+    whole = {"sep": "\x00", "quote": "", "escape": "", "header": True, "enforceSchema": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "mode": "PERMISSIVE"}
+    lines = spark.read.options(**whole).schema("value string").csv(path)
+    rows = lines.select(F.regexp_replace("value", "[\r﻿]", "").alias("value")).where(F.trim("value") != "")
     return rows, header
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt.functions import dates as D
+from veldt.sources.files import hadoop_path
 from veldt.sources.relation import Relation, relation_of
 
 #: Rows that SEQUENCE has from its lower bound on without an upper bound, when a LIMIT stops it.
@@ -42,24 +43,26 @@ def sample(spark: SparkSession, rows: int = 1000, seed: int = 1) -> DataFrame:
 
 
 def directory(spark: SparkSession, path: str) -> Relation:
-    """inode, name, type, path, size, created, modified of the files below a path; stores know no inode or creation time."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).drop("content")
-    df = found.select(
-        F.lit(None).cast("long").alias("inode"),
-        F.regexp_extract("path", r"([^/]+)/?$", 1).alias("name"),
-        F.lit("f").alias("type"),
-        "path",
-        F.col("length").alias("size"),
-        F.lit(None).cast("timestamp").alias("created"),
-        F.col("modificationTime").alias("modified"),
-    )
-    return relation_of(df)
+    """inode, name, type (d, f or s), path, size, created, modified of what is below a path, or of the file itself; stores
+    know no inode or creation time. The listing is the store's own, as Spark's readers take it."""
+    fs, top = hadoop_path(spark, path)
+    found, todo = [], [top] if fs.exists(top) else []
+    while todo:
+        for x in fs.listStatus(todo.pop()):
+            p = x.getPath()
+            found.append((p.getName(), "s" if x.isSymlink() else "d" if x.isDirectory() else "f", p.toString(), x.getLen(), x.getModificationTime()))
+            if x.isDirectory():
+                todo.append(p)
+    df = spark.createDataFrame(sorted(found, key=lambda x: x[2]), "name string, type string, path string, size long, at long")
+    none = F.lit(None)
+    return relation_of(df.select(none.cast("long").alias("inode"), "name", "type", "path", "size", none.cast("timestamp").alias("created"), F.timestamp_millis("at").alias("modified")))
 
 
 def values(spark: SparkSession, rows: list[list[object]]) -> Relation:
     """Inline rows as text columns col1, col2, ..."""
     n = len(rows[0])
-    plain = [[None if x is None or x == "" else f"{x:g}" if isinstance(x, float) else str(x) for x in row] for row in rows]
+    shown = lambda x: str(int(x)) if isinstance(x, float) and x.is_integer() and abs(x) < 1e15 else str(x)
+    plain = [[None if x is None or x == "" else shown(x) for x in row] for row in rows]
     df = spark.createDataFrame(plain, ", ".join(f"c{i} string" for i in range(n)))
     kinds = ["int" if all(isinstance(r[i], int) for r in rows) else "text" for i in range(n)]
     df = df.select(*[F.col(f"c{i}").cast("long").alias(f"c{i}") if kinds[i] == "int" else F.col(f"c{i}") for i in range(n)])

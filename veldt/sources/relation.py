@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldt.functions.values import kind_of
@@ -14,14 +15,15 @@ from veldt.functions.values import kind_of
 class Relation:
     """Columns with their dialect names (repeats allowed) and kinds; the DataFrame has one column for each, in order.
 
-    generated: calendar or sequence for tables that are made from bounds; then there is no DataFrame yet.
+    generated: calendar or sequence for tables that are made from bounds; then there is no DataFrame yet. rowid: the
+    DataFrame's last column, if that holds the row numbers of the table it is a copy of.
     """
 
     df: DataFrame | None
     names: tuple[str, ...]
     kinds: tuple[str, ...]
     generated: str | None = None
-    index_order: tuple[str, ...] = ()
+    rowid: str | None = None
 
 
 def relation_of(df: DataFrame, names: tuple[str, ...] | None = None, kinds: tuple[str, ...] | None = None, text: bool = False) -> Relation:
@@ -29,14 +31,21 @@ def relation_of(df: DataFrame, names: tuple[str, ...] | None = None, kinds: tupl
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df with a 0-based row number in its physical order: one count for each partition, no shuffle."""
-    marked = df.withColumn(name, F.monotonically_increasing_id())
-    counts = marked.groupBy(F.shiftright(name, 33).alias("part")).count().collect()  # a row for each partition
-    starts, total = [], 0
-    for row in sorted(counts, key=lambda r: r["part"]):
-        starts.append((row["part"], total))
-        total += row["count"]
-    part, start = f"{name}_part", f"{name}_start"
-    table = df.sparkSession.createDataFrame(starts, f"`{part}` long, `{start}` long")
-    placed = marked.join(F.broadcast(table), F.shiftright(name, 33) == F.col(part))
-    return placed.withColumn(name, F.col(start) + F.col(name).bitwiseAND((1 << 33) - 1)).drop(part, start)
+    """df with a 0-based row number in its physical order, without moving rows.
+
+    Rows of files are numbered by file name, then by place in the file, whatever tasks Spark reads them in; rows of other
+    DataFrames by partition. One count for each split of a file (or partition) is summed up, and joined by broadcast: it
+    is a row for each task that reads the table.
+    """
+    part, split, start = f"{name}_part", f"{name}_split", f"{name}_start"
+    number = F.monotonically_increasing_id()
+    try:
+        marked = df.select("*", F.col("_metadata.file_path").alias(part), F.col("_metadata.file_block_start").alias(split), number.alias(name))
+        marked.schema  # noqa: B018  raises where there are no files
+    except AnalysisException:
+        marked = df.select("*", number.alias(name)).withColumns({part: F.shiftright(name, 33), split: F.lit(0)})
+    counts = marked.groupBy(part, split).agg(F.count(F.lit(1)).alias("count"), F.min(name).alias("low"))
+    before = F.sum("count").over(Window.orderBy(part, split).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(part, split, (F.coalesce(before, F.lit(0)) - F.col("low")).alias(start))
+    placed = marked.join(F.broadcast(starts), [part, split])
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(name) + F.col(start)).alias(name))
