@@ -40,7 +40,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/veldt-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._veldt_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what materialize wrote for these frames: only those whose every use has been written elsewhere since."""
+    for df in frames:
+        if path := getattr(df, "_veldt_path", None):
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

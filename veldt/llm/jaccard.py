@@ -3,7 +3,8 @@
 Documents with equal shingle sets are one class. Each class puts the rarest of its shingles, as many as two linked
 sets must share one of, into posting lists. Lists are first compared against one pivot each; classes that are then
 connected need no comparison any more. Two such rounds leave the pairs of unconnected classes that share a prefix
-shingle; those are all compared. Length, positional and suffix filters stand before every comparison.
+shingle; those are all compared, but for pairs that an earlier round refused. Length, positional and suffix filters stand
+before every comparison.
 
 Links never leave a component, so the links are then counted inside the components: each is dealt into blocks of classes
 by hash, and every two blocks meet once, where each pair of different classes that the length filter leaves is verified
@@ -20,12 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt.llm import words as W
-from veldt.llm.common import id_key, materialize, small, text_slices
+from veldt.llm.common import discard, id_key, materialize, small, text_slices
 
 #: Shingle counts are summed in 2 to this power buckets; what is sent to the executors has this size for any input.
 ORDER_BITS = 18
-#: Parts of the hash space whose counts the suffix filter compares, and the most that a part counts (a bound stays one).
-PARTS, PART_MOST = 64, 127
 PIVOT_ROUNDS = 2
 #: Shingles, and classes, that a block of one component holds on average at most.
 BLOCK_SHINGLES, BLOCK_CLASSES = 1 << 16, 512
@@ -79,6 +78,14 @@ def least_overlap(a: int, percent: int) -> int:
     return -(-percent * a // 100)
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """For the suffix filter: the hash space in as many parts as there are shingles, a power of 2 and 64 at least, and of
+    each part whether it holds an odd number of them. Sets differ by no fewer shingles than their bits differ."""
+    size = max(64, 1 << max(len(shingles) - 1, 0).bit_length())
+    counts = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _prefix_pass(k: int, seed: int, percent: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order.value
@@ -95,13 +102,11 @@ def _prefix_pass(k: int, seed: int, percent: int, order):
                     ranks = counts[(shingles >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
                     size = n - least_overlap(n, percent) + 1
                     first = np.argsort(ranks, kind="stable")[:size]  # ties by hash: the set is sorted
-                    parts = np.minimum(np.bincount((shingles & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), PART_MOST).astype(np.int8)
-                    rows.append((d1, ids[at + i], n, shingles[first].view(np.int64), parts))
+                    rows.append((d1, ids[at + i], n, shingles[first].view(np.int64), parity_bits(shingles)))
                 if rows:
-                    c, rep, n, tokens, parts = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, pa.int64()), pa.array(rep, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int8()))], names=["c", "rep", "n", "tokens", "parts"]
-                    )
+                    c, rep, n, tokens, bits = zip(*rows, strict=True)
+                    lists = [pa.array(x, pa.list_(pa.int64())) for x in (tokens, bits)]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (c, rep, n)], *lists], names=["c", "rep", "n", "tokens", "bits"])
 
     return run
 
@@ -174,8 +179,12 @@ def _may_link(x: str, y: str, percent: int) -> Column:
 
 
 def _near_enough(percent: int) -> Column:
-    """Suffix filter: the parts of the hash space alone of sets x and y are not too far apart."""
-    apart = F.aggregate(F.zip_with("px", "py", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda a, b: a + b)
+    """Suffix filter: the parity bits of sets x and y, folded to the shorter of both, are not too far apart."""
+    width = F.least(F.size("bx"), F.size("by"))
+    fold = lambda bits: F.transform(
+        F.sequence(F.lit(0), width - 1), lambda i: F.aggregate(F.sequence(i, F.size(bits) - 1, width), F.lit(0).cast("long"), lambda a, j: a.bitwiseXOR(F.col(bits)[j]))
+    )
+    apart = F.aggregate(F.zip_with(fold("bx"), fold("by"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     return apart <= F.col("nx") + F.col("ny") - 2 * _needed(F.col("nx"), F.col("ny"), percent)
 
 
@@ -186,15 +195,17 @@ def components(links: DataFrame) -> DataFrame:
     longest chain. Everything stays distributed.
     """
     edges = materialize(links.select("x", "y").union(links.select("y", "x")).distinct())
-    labels = materialize(edges.groupBy(F.col("x").alias("c")).agg(F.min("y").alias("l")).select("c", F.least("c", "l").alias("comp")))
+    labels = written = materialize(edges.groupBy(F.col("x").alias("c")).agg(F.min("y").alias("l")).select("c", F.least("c", "l").alias("comp")))
     while True:
         near = edges.join(labels, edges["y"] == labels["c"]).groupBy("x").agg(F.min("comp").alias("l"))
         spread = labels.join(near, labels["c"] == near["x"]).select("c", "comp", F.least("comp", "l").alias("new"))
         jump = labels.select(F.col("c").alias("new"), F.col("comp").alias("beyond"))
         stepped = materialize(spread.join(jump, "new", "left").select("c", F.least("new", F.coalesce("beyond", "new")).alias("comp"), F.col("comp").alias("old")))
         changed = not stepped.where("comp <> old").isEmpty()
-        labels = stepped.select("c", "comp")
+        discard(written)
+        labels, written = stepped.select("c", "comp"), stepped
         if not changed:
+            discard(edges)
             return labels
 
 
@@ -223,30 +234,39 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sums = base.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).toArrow()
     order[sums.column("a").to_numpy()] = sums.column("n").to_numpy()
     ordered = spark.sparkContext.broadcast(order)
-    prefix_type = "c long, rep long, n long, tokens array<long>, parts array<byte>"
+    one_row_an_id = rows.groupBy("id").count().where("count > 1").isEmpty()
+    prefix_type = "c long, rep long, n long, tokens array<long>, bits array<long>"
     once = source.mapInArrow(_prefix_pass(k, seed, percent, ordered), prefix_type)
-    prefixes = materialize(once.groupBy("c").agg(*[F.first(x).alias(x) for x in ("rep", "n", "tokens", "parts")]))
+    prefixes = materialize(once.groupBy("c").agg(*[F.first(x).alias(x) for x in ("rep", "n", "tokens", "bits")]))
     shared = materialize(prefixes.select(F.explode("tokens").alias("t")).groupBy("t").count().where("count > 1").select("t"))
     posts = prefixes.select("c", "n", F.posexplode("tokens").alias("pos", "t")).join(small(shared, shared.count(), SHARED_ROWS), "t")
     posts = materialize(posts.select("t", F.struct("c", "n", "pos").alias("p")))
+    discard(shared)
+    tested = None
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(c, shingles) of the classes in wanted (c, rep)."""
         reps = wanted.select(F.col("rep").alias("id")).distinct()
         texts = source.join(small(reps, reps.count()), "id", "left_semi").select("t")
         sets = texts.mapInArrow(_set_pass(k, seed), "c long, shingles array<long>")
-        return materialize(sets.join(wanted.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.first("shingles").alias("shingles")))
+        if one_row_an_id:
+            return sets
+        return sets.join(wanted.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.first("shingles").alias("shingles"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) that are linked: each pair once, by the sets of the classes that any pair still has."""
-        of = lambda v: prefixes.select(F.col("c").alias(v), F.col("n").alias(f"n{v}"), F.col("rep").alias(f"r{v}"), F.col("parts").alias(f"p{v}"))
-        near = pairs.distinct().join(of("x"), "x").join(of("y"), "y").where(_near_enough(percent))
-        near = materialize(near.select("x", "y", "rx", "ry"))
+        """The pairs (x, y) that are linked: each pair once in all rounds, by the sets of the classes that it still has."""
+        nonlocal tested
+        of = lambda v: prefixes.select(F.col("c").alias(v), F.col("n").alias(f"n{v}"), F.col("rep").alias(f"r{v}"), F.col("bits").alias(f"b{v}"))
+        new = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["x", "y"], "left_anti")
+        near = materialize(new.join(of("x"), "x").join(of("y"), "y").where(_near_enough(percent)).select("x", "y", "rx", "ry"))
+        tested = near.select("x", "y") if tested is None else tested.union(near.select("x", "y"))
         wanted = materialize(near.select(F.col("x").alias("c"), F.col("rx").alias("rep")).union(near.select("y", "ry")).distinct())
-        sets = sets_of(wanted)
+        sets = materialize(sets_of(wanted))
         both = near.join(sets.select(F.col("c").alias("y"), F.col("shingles").alias("sy")), "y").join(sets.select(F.col("c").alias("x"), F.col("shingles").alias("sx")), "x")
-        tested = both.select("x", "y", F.size(F.array_intersect("sx", "sy")).alias("common"), (F.size("sx") + F.size("sy")).alias("sum"))
-        return tested.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("sum") - F.col("common"))).select("x", "y")
+        compared = both.select("x", "y", F.size(F.array_intersect("sx", "sy")).alias("common"), (F.size("sx") + F.size("sy")).alias("sum"))
+        found = materialize(compared.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("sum") - F.col("common"))).select("x", "y"))
+        discard(sets, wanted)
+        return found
 
     def link_counts(members: DataFrame) -> DataFrame:
         """(c, linked): the rows of other classes that each class of members (c, rows, comp) is linked with."""
@@ -269,9 +289,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     heads = posts.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("p.pos", "p.c", "p.n")).alias("q"))
     first = posts.join(heads, "t").withColumn("link", (F.col("p.c") != F.col("q.c")) & _may_link("p", "q", percent))
     first = materialize(first.where((F.col("m") > 2) | F.col("link")))
+    discard(posts)
     posts = first.where("m > 2").select("t", "p")
     pair = (F.least("p.c", "q.c").alias("x"), F.greatest("p.c", "q.c").alias("y"))
-    links = materialize(verified(first.where("link").select(*pair)))
+    links = verified(first.where("link").select(*pair))
     labels = components(links)
     for step in range(1, PIVOT_ROUNDS + 1):
         now = posts.join(labels.withColumnRenamed("c", "lc"), F.col("p.c") == F.col("lc"), "left").select("t", "p", F.coalesce("comp", "p.c").alias("comp"))
@@ -284,8 +305,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             alive = now.join(heads.select("t"), "t", "left_semi")
             other = alive.select("t", F.col("p").alias("q"), F.col("comp").alias("qcomp"))
             met = alive.join(other, "t").where((F.col("comp") < F.col("qcomp")) & _may_link("p", "q", percent))
-        links = links.union(materialize(verified(met.select(*pair))))
+        links = links.union(verified(met.select(*pair)))
         labels = components(links)
+    discard(first)
     classes = filled.groupBy("c").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
     joined = classes.join(labels.withColumnRenamed("c", "lc"), F.col("c") == F.col("lc"), "left").select("c", "least", "rows", F.coalesce("comp", "c").alias("comp"))
     joined = materialize(joined)
