@@ -167,6 +167,17 @@ def test_other_vocabularies(spark, tmp_path):
     assert tokens.independent_words(tokens.load_tokenizer(tokens.DEFAULT_VOCABULARY))
 
 
+def test_memo_of_odd_words():
+    """Every printable ASCII character in words, next to letters, digits, other signs and special strings."""
+    ids, memo = reference_ids(), tokens.WordMemo(tokens.DEFAULT_VOCABULARY)
+    rng = np.random.default_rng(1)
+    signs = [chr(c) for c in range(33, 127)] + ["ab", "The", "'s", "'LL", "<|", "|>", "<|endoftext|>", "\x00", "\x7f", "\t", "é", "e\u0301", "İ", "12", "...", "日本"]
+    for _ in range(300):
+        t = " ".join("".join(rng.choice(signs, rng.integers(1, 7))) for _ in range(40))
+        (got,) = memo.encode([t.encode()])
+        assert np.frombuffer(got, "<u4").tolist() == ids(t), t
+
+
 @pytest.mark.parametrize("group_pieces", [50_000, 10])
 def test_packing(spark, docs, group_pieces):
     ids = reference_ids()
@@ -375,6 +386,44 @@ def test_jaccard_counts_every_link(spark, monkeypatch, block, cells):
     assert any(0 < n < 11 for i, _, n in want if i is not None and 200 <= i < 212)
 
 
+def test_parity_bits_are_a_bound():
+    rng = np.random.default_rng(5)
+    fold = lambda b, w: np.bitwise_xor.reduce(b.reshape(-1, w), 0)
+    for n in (0, 1, 5, 64, 65, 300, 1000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for change in (0, 1, 7, n // 3, n):
+            b = np.union1d(a[change:], rng.integers(0, 1 << 63, change // 2).astype(np.uint64))
+            x, y = jaccard.parity_bits(a), jaccard.parity_bits(b)
+            w = min(len(x), len(y))
+            apart = np.unpackbits((fold(x, w) ^ fold(y, w)).view(np.uint8)).sum()
+            assert apart <= len(np.setxor1d(a, b)) and (change or apart == 0)
+
+
+def test_jaccard_verifies_no_pair_twice(spark, monkeypatch):
+    """Families of near copies, of which many pairs are refused; no pair of classes is compared again in a later round."""
+    seen = []
+
+    def spy(df, keep=jaccard.materialize):
+        out = keep(df)
+        if out.columns == ["x", "y", "rx", "ry"]:
+            seen.extend((r["x"], r["y"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", spy)
+    tail = (None, None, 0, "x", 0, "y", "k", "h", "no")
+    rows = []
+    for f in range(10):
+        base = [f"f{f}w{i}" for i in range(60)]
+        for m in range(30):
+            words = list(base)
+            for at in np.random.default_rng(100 * f + m).choice(60, 2 + m % 5, replace=False):
+                words[at] = f"own{f}_{m}_{at}"
+            rows.append((1000 * f + m, " ".join(words), *tail))
+    got = jaccard.jaccard_components(cases.frame(spark, rows), k=2, percent=80)
+    assert by_row(got, "doc_id", "n_shingles", "component_id") == components(rows, 2, 80)
+    assert len(seen) > 100 and len(seen) == len(set(seen)) and all(x < y for x, y in seen)
+
+
 def suffix_brute(rows, length):
     order = sorted(rows, key=lambda r: (-1 << 63 if r[0] is None else r[0]))
     seen, out = set(), collections.Counter()
@@ -403,6 +452,25 @@ def test_suffix_dedup(spark, monkeypatch, length, hot):
     assert suffix_dedup.suffix_dedup(cases.empty(spark)).count() == 0
 
 
+def test_suffix_order_is_that_of_the_bytes():
+    """Merge sort by hash-compared extensions against Python's sort, to both sides, with ties, bytes 0 and short rows."""
+    rng = np.random.default_rng(4)
+    length, side = 60, 60 - suffix_dedup.GRAM
+    for trial in range(20):
+        n = int(rng.integers(1, 120))
+        matrix = rng.integers(0, 3, (n, side + length)).astype(np.uint8)
+        matrix[rng.random(n) < 0.5] = matrix[0]
+        matrix[rng.random(n) < 0.3, side + suffix_dedup.GRAM + 9 :] = 0
+        group = np.sort(rng.integers(0, 1 + trial % 5, n)).astype(np.int64) * 7 - 9
+        rng.shuffle(group)
+        prefix = suffix_dedup._hash_rows(matrix)
+        for step, column, most in ((1, side + suffix_dedup.GRAM, length - suffix_dedup.GRAM), (-1, side, side)):
+            room = rng.integers(0, most + 1, n)
+            got = suffix_dedup.suffix_order(matrix, prefix, group, column, room, step)
+            text = lambda i: bytes(matrix[i, column : column + room[i]] if step > 0 else matrix[i, column - room[i] : column][::-1])  # noqa: B023, E731
+            assert got.tolist() == sorted(range(n), key=lambda i: (group[i], text(i)))  # noqa: B023
+
+
 def test_suffix_hash_collisions_are_compared(monkeypatch):
     """With a hash that says every string is equal, bytes decide."""
     monkeypatch.setattr(suffix_dedup.W, "mix", lambda h: np.zeros_like(h))

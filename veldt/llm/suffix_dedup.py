@@ -6,9 +6,10 @@ repeats are found among the suffixes around anchors whose gram occurs twice or m
 1. equal texts: all but the first go as a whole;
 2. anchors that occur once in the corpus are dropped (one sum for each gram);
 3. anchors whose whole surroundings (all strings through them) occur earlier cover all of them;
-4. the other anchors' surroundings are suffix sorted in bounded partitions: byte order by a merge sort, common
-   extensions of neighbours to both sides by binary search on polynomial prefix hashes, which leaves for each anchor
-   the strings that can repeat at all; those are sorted by their polynomial hash, and equal ones are verified byte by byte.
+4. the other anchors' surroundings are suffix sorted in bounded partitions by a merge sort, in which two suffixes are
+   compared by a binary search for their common extension on polynomial prefix hashes and the byte behind it. The
+   extensions of neighbours to both sides leave for each anchor the strings that can repeat at all; those are sorted by
+   their polynomial hash, and equal ones are verified byte by byte.
 
 Anchors with very many different surroundings (a passage in a third of all documents) are not brought together: their
 strings are summed by 128-bit hashes.
@@ -30,7 +31,7 @@ from veldt.llm.common import BROADCAST_ROWS, fresh, id_key, materialize, small,
 GRAM = 32
 #: Repeated grams (a long each) that may be broadcast; surroundings that one partition sorts, and of one anchor.
 GRAM_ROWS = 2_000_000
-PARTITION_ROWS = 40_000
+PARTITION_ROWS = 20_000
 HOT_ROWS = 8_192
 
 
@@ -141,18 +142,62 @@ def common_extensions(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, column:
     return low
 
 
+def _before(matrix: np.ndarray, prefix: np.ndarray, a: np.ndarray, b: np.ndarray, column: int, room: np.ndarray, step: int) -> np.ndarray:
+    """Whether the suffix of row a from the column on (to the left with step -1) stands before that of row b: by the byte
+    behind their common extension, or by length where one is the beginning of the other."""
+    most = np.minimum(room[a], room[b])
+    shared = common_extensions(prefix, a, b, column, most, step)
+    at = np.minimum(np.maximum(column + shared if step > 0 else column - 1 - shared, 0), matrix.shape[1] - 1)
+    return np.where(shared < most, matrix[a, at] < matrix[b, at], room[a] < room[b])
+
+
+def suffix_order(matrix: np.ndarray, prefix: np.ndarray, group: np.ndarray, column: int, room: np.ndarray, step: int) -> np.ndarray:
+    """The rows in order of their groups, and of their suffixes from the column on within a group.
+
+    A merge sort from runs of one row, for all groups at once: a row's place in a merged run is its place in its own plus
+    the number of rows of the other before it, found by binary search. Comparisons take a logarithmic number of steps.
+    """
+    order = np.argsort(group, kind="stable")
+    begins = np.flatnonzero(np.diff(group[order], prepend=group[order[:1]] - 1)) if len(order) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(begins, len(order)))
+    start, size = np.repeat(begins, sizes), np.repeat(sizes, sizes)
+    width = 1
+    while width < sizes.max(initial=0):
+        place = np.arange(len(order))
+        inside = place - start
+        run = inside // width
+        other = start + (run ^ 1) * width  # the run that this one is merged with
+        active = np.flatnonzero((size > width) & (other < start + size))
+        own, low = order[active], other[active].copy()
+        high = np.minimum(low + width, (start + size)[active])
+        first, right = low.copy(), (run[active] & 1) == 1
+        while (todo := np.flatnonzero(low < high)).size:
+            middle = (low[todo] + high[todo]) // 2
+            x, y = own[todo], order[middle]
+            # rows of the left run stand before equal ones of the right run
+            swap = ~right[todo]
+            less = _before(matrix, prefix, np.where(swap, y, x), np.where(swap, x, y), column, room, step)
+            goes_on = np.where(swap, less, ~less)
+            low[todo] = np.where(goes_on, middle + 1, low[todo])
+            high[todo] = np.where(goes_on, high[todo], middle)
+        merged = order.copy()
+        left_start = start[active] + (run[active] & ~1) * width
+        merged[left_start + inside[active] % width + (low - first)] = own
+        order, width = merged, 2 * width
+    return order
+
+
 def _reach(matrix: np.ndarray, prefix: np.ndarray, group: np.ndarray, first: np.ndarray, end: np.ndarray, side: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row the most bytes left of the anchor, and right of its gram, that any other row of its group shares:
-    suffixes (and reversed prefixes) are sorted by bytes within groups, and the longest extension is a neighbour's."""
+    suffixes (and reversed prefixes) are sorted within groups, and the longest extension is a neighbour's."""
     out = []
     for step in (-1, 1):
-        part = np.ascontiguousarray(matrix[:, side - 1 :: -1] if step < 0 else matrix[:, side + GRAM :])
+        column = side if step < 0 else side + GRAM
         room = np.minimum(side - first, length) if step < 0 else end - side - GRAM
-        # bytes 0 at the end don't count in the first key, so the room decides there
-        order = np.lexsort((room, part.view(f"S{part.shape[1]}").ravel(), group))
+        order = suffix_order(matrix, prefix, group, column, room, step)
         a, b = order[:-1], order[1:]
         most = np.where(group[a] == group[b], np.minimum(room[a], room[b]), 0)
-        shared = common_extensions(prefix, a, b, side if step < 0 else side + GRAM, most, step)
+        shared = common_extensions(prefix, a, b, column, most, step)
         best = np.zeros(len(matrix), np.int64)
         np.maximum.at(best, a, shared)
         np.maximum.at(best, b, shared)
@@ -304,9 +349,10 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         base = base.withColumn("key", F.col("id"))
     else:
         base = materialize(base.orderBy("id", F.xxhash64("t"), F.sha2("t", 256)).withColumn("key", F.monotonically_increasing_id()))
-    marks = materialize(base.select("key", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(7), F.col("t")).alias("h2"), F.octet_length("t").alias("n")))
-    heads = marks.groupBy("h1", "h2", "n").agg(F.min("key").alias("head"))
-    copies = materialize(marks.join(heads, ["h1", "h2", "n"]).where("key <> head").select("key"))
+    # Whole texts are equal if their SHA-256 is, for which no collision is known.
+    marks = materialize(base.select("key", F.unhex(F.sha2("t", 256)).alias("digest")))
+    heads = marks.groupBy("digest").agg(F.min("key").alias("head"))
+    copies = materialize(marks.join(heads, "digest").where("key <> head").select("key"))
     n_copies = copies.count()
     texts = base.select("t", "key").join(small(copies, n_copies, BROADCAST_ROWS), "key", "left_anti").where(F.octet_length("t") >= length).select("t", "key")
     anchors = texts.mapInArrow(_anchor_pass(length), "g long, c long, key long, pos int")
