@@ -324,6 +324,47 @@ def test_symbol_soup_is_far_from_its_language(spark):
     assert got[200]["class_distance"] is None and got[200]["word_distance"] is None
 
 
+def distance(p, q):
+    m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+    bits = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
+    return float(np.sqrt(max((bits(p) + bits(q)) / 2, 0)))
+
+
+def test_quality_rules_verdict_against_plain_python(spark):
+    """Histograms by character and by word, references as means by language, distances and verdicts."""
+    kinds = [set("aeiou"), set("bcdfghjklmnpqrstvwxyz"), {chr(c) for c in range(65, 91)}, set("0123456789"), set(" \t\x0b\x0c\r"), {"\n"}, set(".,;:!?'\"()-"), set("#*$%&|<>")]
+    kind = lambda c: 8 if "\u00c0" <= c or "\u0080" <= c else next((k for k, some in enumerate(kinds) if c in some), 9)
+    share = lambda counts: [x / max(sum(counts), 1) for x in counts]
+    rows = [(i, cases.prose(i, 60 + i), ["en", "de", "xx", None][i % 4], "s", 0, "x", 0, "y", "k", "h", "no") for i in range(60)]
+    rows += [(100 + i, " ".join(w + "%%%" for w in cases.prose(i, 150).split()), "en", "s", 0, "x", 0, "y", "k", "h", "no") for i in range(3)]
+    rows += [(200 + i, "the of and " * 3 + cases.prose(i, 300).replace("the", "xyz").upper(), "de", "s", 0, "x", 0, "y", "k", "h", "no") for i in range(3)] + cases.rows()
+    words = {lang: some.split() for lang, some in quality_rules.COMMON_WORDS.items()}
+    found = []
+    for i, t, lang, *_ in rows:
+        t, chars = t or "", [0] * 10
+        for c in t:
+            chars[kind(c)] += 1
+        w = [x.translate(cases.LOWER) for x in cases.WORD.findall(t)]
+        common = list(dict.fromkeys(words[lang])) if lang in words else None
+        counts = None if common is None else [w.count(x) for x in common] + [sum(x not in set(common) for x in w)]
+        found.append((i, t, lang or "", base_counts(t), chars, counts, len(w)))
+    mean = {}
+    for at in (4, 5):
+        for lang in {f[2] for f in found}:
+            some = [share(f[at]) for f in found if f[2] == lang and not f[3][-1] and f[at] is not None]
+            mean[at, lang] = [sum(x) / len(some) for x in zip(*some, strict=True)] if some else None
+    want = {}
+    for k, (i, t, lang, base, chars, counts, n) in enumerate(found):
+        c = distance(share(chars), mean[4, lang]) if len(t) >= 200 and mean[4, lang] else None
+        d = distance(share(counts), mean[5, lang]) if n >= 80 and counts is not None and mean[5, lang] else None
+        want.setdefault((i, n), []).append((c, d, not base[-1] and not (c is not None and c > 0.25) and not (d is not None and d > 0.18 + n**-0.5)))
+    got = quality_rules.quality_rules(cases.frame(spark, rows).drop("kept")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert any((r["class_distance"], r["word_distance"]) == pytest.approx((c, d), abs=1e-9) and r["kept"] == k for c, d, k in want[r["doc_id"], r["n_words"]] if (c is None) == (r["class_distance"] is None) and (d is None) == (r["word_distance"] is None)), r
+    assert len({k for x in want.values() for _, _, k in x}) == 2
+
+
 def components(rows, k, percent):
     sets = []
     for i, t, *_ in rows:

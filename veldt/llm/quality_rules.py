@@ -133,7 +133,7 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     """The distance (0 to 1) of two arrays of shares; null if one is null."""
     term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
     each = F.zip_with(p, q, lambda x, y: term(x, (x + y) / 2) + term(y, (x + y) / 2))
-    return F.sqrt(F.greatest(F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
+    return F.when(p.isNotNull() & q.isNotNull(), F.sqrt(F.greatest(F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0))))
 
 
 def quality_rules(
