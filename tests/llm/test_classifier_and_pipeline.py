@@ -1,11 +1,15 @@
 """Held-out accuracy of the classifier, its posteriors, and every stage of the pipeline."""
 
+import collections
+import math
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 from tests.llm import cases
-from tests.llm.test_operators import components
+from tests.llm.test_operators import components, reference_ids
 from veldt.llm import quality_classifier as Q
 from veldt.llm.common import importable
 
@@ -73,6 +77,54 @@ def test_every_site_of_a_document_counts(spark):
     assert scores[0] == pytest.approx(scores[1], rel=1e-6)
 
 
+def plain_posteriors(sites, p):
+    """Scores of documents moved by their sites, from (document, host, path) and text scores: all by the book."""
+    rows = sorted({(d, h, f"{h}/{q}") for d, h, q in sites})
+    by_path, by_host = {}, {}
+    for d, h, q in rows:
+        by_path.setdefault((h, q), []).append(p[d])
+        by_host.setdefault(h, []).append(p[d])
+    mean = sum(p[d] for d, _, _ in rows) / len(rows)
+
+    def strength(groups, centers):
+        n = sum(map(len, groups))
+        within = sum(sum(x * x for x in g) - sum(g) ** 2 / len(g) for g in groups) / max(n - len(groups), 1)
+        between = sum(len(g) * (sum(g) / len(g) - c) ** 2 for g, c in zip(groups, centers, strict=True)) - within * len(groups)
+        return min(max(mean * (1 - mean) / max(between / n, 1e-9) - 1, 2.0), 1000.0)
+
+    k_host = strength(list(by_host.values()), [mean] * len(by_host))
+    k_path = strength(list(by_path.values()), [sum(by_host[h]) / len(by_host[h]) for h, _ in by_path])
+    logit = lambda x: math.log(x / (1 - x))
+    out = {}
+    for d in p:
+        moves = []
+        for _, h, q in (r for r in rows if r[0] == d):
+            own = sum(1 for r in rows if r[0] == d and r[1] == h)
+            host = (sum(by_host[h]) - own * p[d] + k_host * mean) / (len(by_host[h]) - own + k_host)
+            path = (sum(by_path[h, q]) - p[d] + k_path * host) / (len(by_path[h, q]) - 1 + k_path)
+            moves.append(min(max(logit(path) - logit(mean), -2.0), 2.0))
+        out[d] = 1 / (1 + math.exp(-(logit(p[d]) + sum(moves) / len(moves))))
+    return out
+
+
+def test_scores_against_plain_python(spark):
+    """From the text scores alone (no shift by sites): hosts, paths, a document alone at its host, several sites."""
+    docs, labels, sites = corpus(spark, 200)
+    sites += [(5, "alone.example", "p"), (6, "h1.example", "p0"), (6, "h1.example", "p1"), (6, "h2.example", "p1"), (7, "h1.example", "p0"), (7, "h1.example", "p0")]
+    sites = [s for s in sites if s[0] != 5 or s[1] == "alone.example"]
+    frame, known = cases.frame(spark, docs), spark.createDataFrame(labels[:120], "doc_id long, quality int, toxic int")
+    table = spark.createDataFrame(sites, "doc_id long, host string, path string")
+    text = {r["doc_id"]: r for r in Q.classify(frame, known, table, site_shift=0.0).collect()}
+    got = {r["doc_id"]: r for r in Q.classify(frame, known, table).collect()}
+    for score in ("bad_score", "toxic_score"):
+        want = plain_posteriors(sites, {d: r[score] for d, r in text.items()})
+        assert {d: r[score] for d, r in got.items()} == pytest.approx(want, rel=1e-6, abs=1e-9)
+    assert all(r["kept_"] == (r["bad_score"] <= 0.5 and r["toxic_score"] <= 0.5) for r in got.values())
+    assert any(abs(got[d]["bad_score"] - text[d]["bad_score"]) > 0.02 for d in got)
+    whole = Q.classify(frame, known, table, keep_text=True)
+    assert {(r["doc_id"], r["text"], r["kept_"]) for r in whole.collect()} == {(i, t, got[i]["kept_"]) for i, t, *_ in docs}
+
+
 def test_posteriors_shrink(spark):
     scores = [("a", "a/x", 0.9)] * 400 + [("a", "a/y", 0.1)] * 2 + [("b", "b/x", 0.1)] * 400 + [("c", "c/x", 0.9)]
     rows = {r["path"]: r for r in Q.site_posteriors(spark.createDataFrame(scores, "host string, path string, p double"), "p").collect()}
@@ -116,3 +168,50 @@ def test_pipeline_stages(spark, tmp_path):
     assert sizes["quality"][1] < sizes["quality"][0] and sizes["near_duplicates"][1] < sizes["near_duplicates"][0]
     whole = {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in P.run(spark, "/root/testdata/sf0.001").collect()}
     assert whole == {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in before.collect()}
+
+
+def pipeline_rows(frame):
+    return collections.Counter((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in frame.collect())
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    """Null ids, several rows of one id, repeated rows, null and empty texts: each row by its own verdict."""
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    near = cases.prose(90, 120)
+    rows = cases.rows() + [(3, near, "en", "a", 1, "x", 0, "y", "k", "h", "no"), (None, near + " more", "en", "a", 2, "x", 0, "y", "k", "h", "no"), (None, near, "en", None, 3, "x", 0, "y", "k", "h", "no")]
+    frame = cases.frame(spark, rows)
+    own = [(i, t, lang, s, n) for i, t, lang, s, n, *_ in rows]
+    # near copies: one row of each component, with the least id, and all rows without words
+    numbered = [(k, t) for k, (_, t, *_) in enumerate(own)]
+    component = {i: (c, n) for i, n, c in components(numbered, 5, 80)}
+    groups = collections.defaultdict(list)
+    for k, (c, n) in component.items():
+        groups[c if n else ("none", k)].append((own[k][0] is None, own[k][0] or 0, k))
+    got = pipeline_rows(P.near_duplicates(spark, frame, sf))
+    assert sum(got.values()) == len(groups) and not got - collections.Counter(own)
+    assert collections.Counter(r[0] for r in got.elements()) == collections.Counter(own[min(g)[2]][0] for g in groups.values())
+    # mix: as often as the operator says, row by row
+    size = lambda t: len(cases.WORD.findall(t or ""))
+    mixed = pipeline_rows(P.mix(spark, frame, sf))
+    assert all(0 < n <= 2 * collections.Counter(own)[r] for r, n in mixed.items())
+    for s in {r[3] for r in own}:
+        total = sum(size(r[1]) for r in own if r[3] == s)
+        taken = sum(n * size(r[1]) for r, n in mixed.items() if r[3] == s)
+        assert taken <= 2 * total
+    # lines: as the operator's own test has it; here the columns and the count
+    cut = P.lines(spark, frame, sf)
+    assert cut.columns == list(P.COLUMNS) and cut.count() == len(rows)
+    # pack: the pieces of every row
+    ids, want = reference_ids(), collections.Counter()
+    for i, t, *_ in own:
+        whole = [*ids(t), 0]
+        for p, at in enumerate(range(0, len(whole), 2048)):
+            want[i, p, at, zlib.crc32(np.array(whole[at : at + 2048], "<u4").tobytes())] += 1
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["ids_crc32"]) for r in P.pack(spark, frame, sf).collect()) == want
+    # quality: no row is lost but those that the classifier rejects, by row
+    kept = pipeline_rows(P.quality(spark, frame, sf))
+    assert kept and not kept - collections.Counter(own)
+    for _, stage in P.STAGES:
+        assert stage(spark, cases.empty(spark), sf).count() == 0

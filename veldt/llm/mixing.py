@@ -50,9 +50,10 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), sh
 
 
 def mix_sources(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, keep_text: bool = False
 ) -> DataFrame:
-    """docs without text_col, with size, source_size, target and copies (how often the mix takes the document).
+    """docs (without text_col, but with keep_text) with size, source_size, target and copies (how often the mix takes the
+    document).
 
     Size is the number of words (null text: 0). Every source's documents are all taken floor(target / source_size)
     times, and those whose hash is under the source's threshold once more, so each source's words differ from its
@@ -60,11 +61,12 @@ def mix_sources(
     depends on ids and sizes alone, so reruns agree; rows with one id are taken or left together. A null source is a
     source, sorted last; an empty table gives an empty table; other columns pass through.
 
-    The histogram of a hot source has as many rows as any other, and counts are added up before they are shuffled.
+    The histogram of a hot source has as many rows as any other, and counts are added up before they are shuffled. The
+    table of sources, a row each, is put in order by one task, as the weights ask.
     """
     size, source_size, target, copies, key, h, s = fresh(docs, "size", "source_size", "target", "copies", "mix_key", "mix_hash", "mix_source")
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    sized = docs.select(*others, word_count(docs[text_col].cast("string")).alias(size), id_hash(docs[id_col]).alias(h), docs[source_col].cast("string").alias(s))
+    shown = [F.col(f"`{c}`") for c in docs.columns if keep_text or c != text_col]
+    sized = docs.select(*shown, word_count(docs[text_col].cast("string")).alias(size), id_hash(docs[id_col]).alias(h), docs[source_col].cast("string").alias(s))
     sized = materialize(sized)
     rows = sized.select(F.col(s).alias("source"), F.col(h).alias("h"), F.col(size).alias("size"))
     marks = thresholds(rows, weights=weights, share=share, cap=cap)
@@ -72,7 +74,7 @@ def mix_sources(
     marks = marks.select(F.col("source").alias(key), F.col("source_size").alias(source_size), F.col("target").alias(target), "full", "threshold")
     joined = sized.join(small(marks, n_sources), sized[s].eqNullSafe(marks[key]))
     taken = F.col("full") + (F.col(h) < F.col("threshold")).cast("long")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], size, source_size, target, taken.alias(copies))
+    return joined.select(*shown, size, source_size, target, taken.alias(copies))
 
 
 def thresholds(rows: DataFrame, *, weights: tuple[int, ...], share: float, cap: int) -> DataFrame:

@@ -3,8 +3,9 @@
 A logistic model on word presence and style is fitted on a bounded sample of the labelled documents and scores every
 document. Grouped sums of those scores give each host, and each path in it, a posterior by empirical Bayes: sparse
 paths shrink toward their host, sparse hosts toward the global mean, with prior strengths estimated from the spread
-between hosts and between paths. A document's log-odds are moved by the posterior of its path without the document; one
-that stands at several sites counts at each of them and is moved by the mean over all.
+between hosts and between paths. A document's log-odds are moved by the posterior that its path has without the document,
+which is taken out of the path's and of the host's sums; one that stands at several sites counts at each of them and is
+moved by the mean over all.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ SAMPLE_DOCS = 20_000
 MODEL_FEATURES = 384
 #: Documents that must have a feature, hash buckets of features (2 to this power), bytes of a word's prefix feature.
 LEAST_DOCS, FEATURE_BITS, PREFIX_BYTES = 5, 24, 4
-#: The most that a site moves a document's log-odds; bounds of the prior strengths, in documents.
+#: The most that a site moves a document's log-odds by default; bounds of the prior strengths, in documents.
 SITE_SHIFT = 2.0
 STRENGTH = (2.0, 1000.0)
 STYLE = ("log words", "symbols a word", "repeated words", "distinct words", "bytes a word", "blank-free digits", "words of one byte")
@@ -102,13 +103,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, features: int = MODEL_FEATURES) -> dict[str, np.ndarray]:
     """Models of 'bad' (quality 0) and 'toxic' from labels (id_col, quality, toxic): buckets, weights, style scale.
 
-    Several labels of a document are averaged. Without labelled documents of both kinds, a model says no of all.
+    The fit reads about sample_docs labelled ids, drawn by hash, and of each id one row, so it is bounded. Several labels of a document are averaged. Without labelled documents of both kinds, a model says no of all.
     """
     marked = labels.where(labels[id_col].isNotNull()).groupBy(labels[id_col].cast("long").alias("label_id")).agg((F.avg("quality") < 0.5).cast("int").alias("bad"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     n = marked.count()
     drawn = (F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) / float(1 << 30)) < sample_docs / max(n, 1)
     sample = materialize(marked.where(drawn))
     joined = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"), docs[id_col].cast("long").alias("label_id")).join(small(sample, sample.count()), "label_id")
+    joined = joined.groupBy("label_id", "bad", "toxic").agg(F.max(F.coalesce("t", F.lit(""))).alias("t"))
     rows = materialize(joined.select("t", "label_id", "bad", "toxic").mapInArrow(_sample_rows, "id long, bad int, toxic int, features array<long>, style array<double>"))
     heads = ("bad", "toxic")
     total = rows.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(h), F.lit(0)).alias(h) for h in heads]).first()
@@ -173,7 +175,8 @@ def _sigmoid(x: Column) -> Column:
 
 
 def site_posteriors(scores: DataFrame, p: str) -> DataFrame:
-    """Rows of host, path with n, total, host_mean (the host's posterior), strength (of the path's prior) and global_mean.
+    """Rows of host, path with n and total, host_n, host_total, host_strength, host_mean (the host's posterior), strength
+    (of the path's prior) and global_mean.
 
     scores has host, path and a probability p. Prior strengths are those of a beta prior with the variance between
     groups that is left after the variance within: mean (1 - mean) / variance - 1, within STRENGTH.
@@ -192,51 +195,55 @@ def site_posteriors(scores: DataFrame, p: str) -> DataFrame:
     hosts = hosts.crossJoin(F.broadcast(whole))  # one row
     k_host = hosts.agg(strength(hosts, F.col("host_n"), F.col("host_total"), F.col("host_squares"), F.col("global_mean")).alias("host_strength"))
     hosts = hosts.crossJoin(F.broadcast(k_host)).withColumn("host_mean", (F.col("host_total") + F.col("host_strength") * F.col("global_mean")) / (F.col("host_n") + F.col("host_strength")))
-    joined = paths.join(hosts.select("host", "host_mean", "host_n", "host_total", "global_mean"), "host")
+    joined = paths.join(hosts.select("host", "host_mean", "host_n", "host_total", "host_strength", "global_mean"), "host")
     k_path = joined.agg(strength(joined, F.col("n"), F.col("total"), F.col("squares"), F.col("host_total") / F.col("host_n")).alias("strength"))
-    return joined.crossJoin(F.broadcast(k_path)).select("host", "path", "n", "total", "host_mean", "strength", "global_mean")
+    return joined.crossJoin(F.broadcast(k_path)).select("host", "path", "n", "total", "host_n", "host_total", "host_strength", "host_mean", "strength", "global_mean")
 
 
 def classify(
     docs: DataFrame, labels: DataFrame, sites: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", host_cols: tuple[str, ...] = ("source",), path_cols: tuple[str, ...] = ("source", "lang"),
-    sample_docs: int = SAMPLE_DOCS, threshold: float = 0.5,
+    sample_docs: int = SAMPLE_DOCS, threshold: float = 0.5, site_shift: float = SITE_SHIFT, keep_text: bool = False,
 ) -> DataFrame:
-    """docs without text_col, with host, path, bad_score, toxic_score (posterior probabilities) and kept.
+    """docs (without text_col, but with keep_text) with host, path, bad_score, toxic_score (posterior probabilities) and kept.
 
     sites (id_col, host, path) gives documents their site; those without one have host_cols and path_cols for it. A
-    document is kept if both scores are at most the threshold. Null texts are empty; null ids have no label and no site;
+    document is kept if both scores are at most the threshold; its sites move its log-odds by at most site_shift. Null texts are empty; null ids have no label and no site;
     null hosts and paths are groups of their own; repeated rows count each. Each distinct site of an id counts in the
     posteriors, and the document is moved by the mean of what each of its sites moves it; the host and path shown are the
     least. An empty table gives an empty table; extra columns pass through. Groups are added up before they are shuffled,
     so a hot host costs no more than others; posteriors are joined by broadcast where they were counted to be few.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col, sample_docs=sample_docs)
-    others = [c for c in docs.columns if c != text_col]
-    bad_l, toxic_l, sid, host, path, bad, toxic, kept, key, row, moved = fresh(
-        docs.drop(text_col), "bad_logit", "toxic_logit", "site_id", "host", "path", "bad_score", "toxic_score", "kept", "site_key", "site_row", "moved_row"
+    others = [c for c in docs.columns if keep_text or c != text_col]
+    bad_l, toxic_l, sid, host, path, bad, toxic, kept, key, row, moved, scored_text, times = fresh(
+        docs.select(*[f"`{c}`" for c in others]), "bad_logit", "toxic_logit", "site_id", "host", "path", "bad_score", "toxic_score", "kept", "site_key", "site_row", "moved_row", "scored_text", "site_times"
     )
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others], f"`{bad_l}` double", f"`{toxic_l}` double"])
-    source = docs.select(F.col(f"`{text_col}`").cast("string").alias(text_col), *[f"`{c}`" for c in others])
+    source = docs.select(F.col(f"`{text_col}`").cast("string").alias(scored_text), *[f"`{c}`" for c in others])
     scored = source.mapInArrow(_scorer(model, others, [bad_l, toxic_l]), schema)
-    own = lambda cols: F.concat_ws("/", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in cols if c in others]) if any(c in others for c in cols) else F.lit("")
+    named = lambda cols: F.concat_ws("/", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in cols if c in others]) if any(c in others for c in cols) else F.lit("")
     site = lambda h, p: F.struct(h.alias("h"), p.alias("p"))
     if sites is None:
-        scored = scored.withColumn(key, F.array(site(own(host_cols), own(path_cols))))
+        scored = scored.withColumn(key, F.array(site(named(host_cols), named(path_cols))))
     else:
         shown = sites.where(sites[id_col].isNotNull()).select(sites[id_col].cast("long").alias(sid), site(F.coalesce(sites["host"], F.lit("")), F.coalesce(sites["path"], F.lit(""))).alias(key))
         every = shown.distinct().groupBy(sid).agg(F.sort_array(F.collect_list(key)).alias(key))
         every = every.withColumn(key, F.transform(key, lambda s: site(s["h"], F.concat_ws("/", s["h"], s["p"]))))
         scored = scored.join(every, F.col(f"`{id_col}`").cast("long") == F.col(sid), "left").drop(sid)
-        scored = scored.withColumn(key, F.coalesce(key, F.array(site(own(host_cols), own(path_cols)))))
+        scored = scored.withColumn(key, F.coalesce(key, F.array(site(named(host_cols), named(path_cols)))))
     scored = materialize(scored.withColumn(row, F.monotonically_increasing_id()))
-    moves = scored.select(F.col(row).alias(moved), bad_l, toxic_l, F.explode(key).alias("s")).select(moved, bad_l, toxic_l, F.col("s.h").alias(host), F.col("s.p").alias(path))
+    moves = scored.select(F.col(row).alias(moved), bad_l, toxic_l, key, F.explode(key).alias("s"))
+    in_host = F.size(F.filter(key, lambda x: x["h"] == F.col("s.h")))  # how often the host's sums hold the document
+    moves = moves.select(moved, bad_l, toxic_l, in_host.alias(times), F.col("s.h").alias(host), F.col("s.p").alias(path))
     seen = moves
     for logit, score in ((bad_l, bad), (toxic_l, toxic)):
         table = materialize(site_posteriors(seen.select(F.col(host).alias("host"), F.col(path).alias("path"), _sigmoid(F.col(logit)).alias("p")), "p")).select(F.struct("*").alias(key))
-        g = {c: F.col(f"{key}.{c}") for c in ("host", "path", "n", "total", "host_mean", "strength", "global_mean")}
+        g = {c: F.col(f"{key}.{c}") for c in ("host", "path", "n", "total", "host_n", "host_total", "host_strength", "strength", "global_mean")}
         joined = moves.join(small(table, table.count()), (F.col(host) == g["host"]) & (F.col(path) == g["path"]))
-        rest = (g["total"] - _sigmoid(F.col(logit)) + g["strength"] * g["host_mean"]) / (g["n"] - 1 + g["strength"])
-        move = F.least(F.greatest(_logit(rest) - _logit(g["global_mean"]), F.lit(-SITE_SHIFT)), F.lit(SITE_SHIFT))
+        own = _sigmoid(F.col(logit))
+        host_rest = (g["host_total"] - F.col(times) * own + g["host_strength"] * g["global_mean"]) / (g["host_n"] - F.col(times) + g["host_strength"])
+        rest = (g["total"] - own + g["strength"] * host_rest) / (g["n"] - 1 + g["strength"])
+        move = F.least(F.greatest(_logit(rest) - _logit(g["global_mean"]), F.lit(-float(site_shift))), F.lit(float(site_shift)))
         moves = joined.withColumn(score, move).drop(key)
     moves = moves.groupBy(moved).agg(F.avg(bad).alias(bad), F.avg(toxic).alias(toxic))
     out = scored.join(moves, F.col(row) == F.col(moved)).withColumns({host: F.col(key)[0]["h"], path: F.col(key)[0]["p"]})
