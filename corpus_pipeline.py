@@ -2,6 +2,10 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Every row goes by its own verdict, whatever its doc_id: rows with a null id or one id of several are judged, compared and
+mixed each. Null and empty texts have no words, are no copies of each other, and are left to the classifier; an empty
+table stays empty; columns other than those of documents are left out.
 """
 
 from __future__ import annotations
@@ -19,17 +23,11 @@ from veldt.llm.quality_classifier import classify, page_sites
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids; null is an id like any other, and rows with one id stay or go together."""
-    return docs.join(ids.select(F.col("doc_id").alias("kept_id")).distinct(), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     importable(spark)
     sites = page_sites(spark.read.parquet(f"{sf_dir}/pages.parquet").select("url"))
-    judged = classify(docs.select("doc_id", "text", "lang", "source"), spark.read.parquet(f"{sf_dir}/labels.parquet"), sites)
-    return _only(docs, judged.where("kept"))
+    return classify(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"), sites, keep_text=True).where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,16 +37,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the least id. Documents without words are no copies."""
-    groups = jaccard_components(docs.select("doc_id", "text"), k=5, percent=80, count_links=False)
-    return _only(docs, groups.where(F.col("component_id").eqNullSafe(F.col("doc_id")) | (F.col("n_shingles") == 0)))
+    """One row of each group of near copies stays: that of the least id. Documents without words are no copies."""
+    keyed = materialize(docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id()))
+    groups = jaccard_components(keyed, id_col="row_key", k=5, percent=80, count_links=False)
+    ids = keyed.select("row_key", "doc_id")
+    groups = materialize(groups.join(ids, "row_key"))
+    first = groups.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("first"))
+    kept = first.select("first.row_key").union(groups.where("n_shingles = 0").select("row_key"))
+    return keyed.join(kept, "row_key", "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mix_sources(docs.select("doc_id", "source", "text")).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
-    taken = taken.withColumnRenamed("doc_id", "taken_id")
-    return docs.join(taken, docs["doc_id"].eqNullSafe(F.col("taken_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    taken = mix_sources(docs.select(*COLUMNS), keep_text=True).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Neither the classifier's fit nor the tokenizer can be put into SQL; the tests hold every stage against brute force.
+#: Neither the classifier's fit nor the tokenizer can be put into SQL. Tests hold the lines, near copies, mix and packed
+#: pieces against brute force, and the classifier's posteriors and verdicts against plain Python from its text scores.
 ORACLE_SQL = None
