@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldt.llm import words as W
@@ -124,16 +125,58 @@ def word_statistics(docs: DataFrame, *, text_col: str = "text", lang_col: str |
     return docs.select(F.col(f"`{text_col}`").cast("string").alias("rule_text"), lang.alias("rule_lang"), *[f"`{c}`" for c in others]).mapInArrow(count, schema)
 
 
-def _shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.transform(counts, lambda x: x / F.greatest(total, F.lit(1)))
-
-
-def jensen_shannon(p: Column, q: Column) -> Column:
-    """The distance (0 to 1) of two arrays of shares; null if one is null."""
-    term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
-    each = F.zip_with(p, q, lambda x, y: term(x, (x + y) / 2) + term(y, (x + y) / 2))
-    return F.when(p.isNotNull() & q.isNotNull(), F.sqrt(F.greatest(F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0))))
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list column's values one after the other, and the length of each list (null: 0)."""
+    lengths = np.array(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+    return np.array(column.flatten(), np.float64), lengths
+
+
+def _by_row(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(values)])
+    ends = np.cumsum(lengths)
+    return total[ends] - total[ends - lengths]
+
+
+def _shares(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return values / np.repeat(np.maximum(_by_row(values, lengths), 1), lengths)
+
+
+def jensen_shannon(p: pa.Array, q: pa.Array) -> np.ndarray:
+    """The distance (0 to 1) of each two lists of counts, or of shares; not a number where one is null."""
+    both = np.array(pc.and_(pc.is_valid(p), pc.is_valid(q)), bool)
+    out = np.full(len(p), np.nan)
+    (x, lengths), (y, other) = _lists(p.filter(pa.array(both))), _lists(q.filter(pa.array(both)))
+    if not np.array_equal(lengths, other):
+        raise ValueError("histograms of different sizes")
+    x, y = _shares(x, lengths), y
+    middle = (x + y) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bits = np.where(x > 0, x * np.log2(x / middle), 0) + np.where(y > 0, y * np.log2(y / middle), 0)
+    rows = np.zeros(len(lengths))
+    np.add.at(rows, np.repeat(np.arange(len(lengths)), lengths), bits)
+    out[both] = np.sqrt(np.maximum(rows / 2, 0))
+    return out
+
+
+def _share_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (language, counts by class, counts by word): for each language of a batch the sums of shares by place, and
+    how many rows they are of."""
+    for batch in batches:
+        names, rows = np.unique(np.array(batch.column(0).to_pylist(), object).astype(str), return_inverse=True)
+        out = []
+        for kind in (1, 2):
+            values, lengths = _lists(batch.column(kind))
+            shares = _shares(values, lengths)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            width = int(lengths.max(initial=0))
+            cell = rows[row] * width + at
+            sums, counts = np.bincount(cell, shares, len(names) * width), np.bincount(cell, minlength=len(names) * width)
+            used = np.flatnonzero(counts)
+            out += [(str(names[c // width]), kind, int(c % width), float(sums[c]), int(counts[c])) for c in used]
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        types = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["lang", "kind", "at", "total", "n"])
 
 
 def quality_rules(
@@ -148,17 +191,30 @@ def quality_rules(
     Repeated rows count each; an empty table gives an empty table; other columns pass through.
     """
     n_words, word_chars, symbols, dup_lines, repeats, chars, common = fresh(docs.drop(text_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_counts", "word_counts")
-    failed, class_d, word_d, kept, lang, p, q, rc, rw = fresh(docs, "base_failed", "class_distance", "word_distance", "kept", "rule_lang", "rule_p", "rule_q", "rule_rc", "rule_rw")
+    failed, class_d, word_d, kept, lang, rc, rw = fresh(docs, "base_failed", "class_distance", "word_distance", "kept", "rule_lang", "rule_rc", "rule_rw")
     counted = materialize(word_statistics(docs, text_col=text_col, lang_col=lang_col, languages=languages))
-    counted = counted.withColumns({failed: (F.col(n_words) < 50) | (100 * F.col(repeats) > 50 * F.col(n_words)), lang: F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")), p: _shares(F.col(chars)), q: _shares(F.col(common))})
+    counted = counted.withColumns({failed: (F.col(n_words) < 50) | (100 * F.col(repeats) > 50 * F.col(n_words)), lang: F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(""))})
+    sums = counted.where(~F.col(failed)).select(lang, chars, common).mapInArrow(_share_sums, "lang string, kind int, at int, total double, n long")
+    means = sums.groupBy("lang", "kind", "at").agg((F.sum("total") / F.sum("n")).alias("share"))
+    ordered = means.groupBy("lang", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "share"))), lambda x: x["share"]).alias("shares"))
+    references = ordered.groupBy(F.col("lang").alias(lang)).agg(F.max(F.when(F.col("kind") == 1, F.col("shares"))).alias(rc), F.max(F.when(F.col("kind") == 2, F.col("shares"))).alias(rw))
+    references = materialize(references)
+    others = [c for c in docs.columns if c != text_col]
+    base = [n_words, word_chars, symbols, dup_lines, repeats]
 
-    def reference(shares: str, out: str) -> DataFrame:
-        each = counted.where(~F.col(failed)).select(lang, F.posexplode(shares).alias("at", "share"))
-        return each.groupBy(lang, "at").agg(F.avg("share").alias("share")).groupBy(lang).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "share"))), lambda x: x["share"]).alias(out))
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chars_of, words_of, class_means, word_means, bad = (batch.column(k) for k in range(5))
+            words = batch.column(5 + len(others))
+            n, base_failed = np.array(words, np.int64), np.array(bad, bool)
+            long = _by_row(*_lists(chars_of)) >= least_chars
+            by_class = np.where(long, jensen_shannon(chars_of, class_means), np.nan)
+            by_word = np.where(n >= least_words, jensen_shannon(words_of, word_means), np.nan)
+            far = (by_class > class_limit) | (by_word > word_limit + WORD_SLACK / np.sqrt(np.maximum(n, 1)))
+            judged = [pa.array(base_failed), *[pa.array(d, pa.float64(), mask=np.isnan(d)) for d in (by_class, by_word)], pa.array(~base_failed & ~far)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[5:], *judged], names=[*others, *base, failed, class_d, word_d, kept])
 
-    references = materialize(reference(p, rc).join(reference(q, rw), lang, "left"))
     joined = counted.join(small(references, references.count()), lang, "left")
-    n_chars = F.aggregate(F.col(chars), F.lit(0).cast("long"), lambda a, x: a + x)
-    joined = joined.withColumns({class_d: F.when(n_chars >= least_chars, jensen_shannon(F.col(p), F.col(rc))), word_d: F.when(F.col(n_words) >= least_words, jensen_shannon(F.col(q), F.col(rw)))})
-    far = F.coalesce(F.col(class_d) > class_limit, F.lit(False)) | F.coalesce(F.col(word_d) > word_limit + WORD_SLACK / F.sqrt(F.col(n_words)), F.lit(False))
-    return joined.withColumn(kept, ~F.col(failed) & ~far).select(*[f"`{c}`" for c in docs.columns if c != text_col], n_words, word_chars, symbols, dup_lines, repeats, failed, class_d, word_d, kept)
+    own = [F.col(f"`{c}`") for c in (*others, *base)]
+    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others], *[f"`{c}` long" for c in base], f"`{failed}` boolean, `{class_d}` double, `{word_d}` double, `{kept}` boolean"])
+    return joined.select(chars, common, rc, rw, failed, *own).mapInArrow(judge, schema)
