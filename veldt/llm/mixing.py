@@ -13,7 +13,7 @@ from veldt.llm.common import fresh, materialize, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a document's hash that one level of histograms looks at, and levels.
-BITS, LEVELS = 12, 5
+BITS, LEVELS = 15, 4
 
 
 def word_count(text: Column) -> Column:
