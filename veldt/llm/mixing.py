@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldt.llm.common import fresh, materialize, small
+from veldt.llm.common import discard, fresh, materialize, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a document's hash that one level of histograms looks at, and levels.
@@ -93,7 +93,7 @@ def thresholds(rows: DataFrame, *, weights: tuple[int, ...], share: float, cap:
         buckets = inside.groupBy("source", F.shiftright("h", shift).alias("next")).agg(F.sum("size").alias("words"), F.first("below").alias("low"), F.first("budget").alias("most"))
         upto = F.col("low") + F.sum("words").over(Window.partitionBy("source").orderBy("next"))
         ends = buckets.withColumn("upto", upto).where(F.col("upto") > F.col("most")).groupBy(F.col("source").alias("b_source")).agg(F.min(F.struct("next", "words", "upto")).alias("b"))
-        now = now.join(ends, now["source"].eqNullSafe(ends["b_source"]), "left").select(
+        before, now = now, now.join(ends, now["source"].eqNullSafe(ends["b_source"]), "left").select(
             "source", "source_size", "target", "full", "budget",
             F.coalesce(F.col("b.next"), F.lit(1 << (BITS * (level + 1))).cast("long")).alias("at"),
             F.coalesce(F.col("b.upto") - F.col("b.words"), F.col("source_size")).alias("below"),
@@ -101,6 +101,7 @@ def thresholds(rows: DataFrame, *, weights: tuple[int, ...], share: float, cap:
             F.col("b").isNotNull().alias("open"),
         )
         now = materialize(now)
+        discard(before)
     nearer = F.col("open") & (F.col("below") + F.col("over") - F.col("budget") <= F.col("budget") - F.col("below"))
     everything = F.lit(1 << (BITS * LEVELS)).cast("long")
     return now.select("source", "source_size", "target", "full", F.when(~F.col("open"), everything).otherwise(F.col("at") + nearer.cast("long")).alias("threshold"))

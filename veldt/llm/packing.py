@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldt.llm.common import fresh, materialize
-from veldt.llm.tokens import CHUNK_CHARS, DEFAULT_VOCABULARY, encode_runs, text_runs
+from veldt.llm.common import discard, fresh, materialize
+from veldt.llm.tokens import DEFAULT_VOCABULARY, encode_runs, text_runs
 
 #: Pieces that one packing group holds at most, on average.
 GROUP_PIECES = 50_000
+#: Texts over so many characters are encoded as overlapping chunks; the memo of words holds shorter ones.
+HUGE_CHARS = 1 << 17
 #: Bins with at least this much room meet again in the next round.
 LOOSE_ROOM = 32
 
@@ -178,7 +180,7 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, chunk_chars: int = HUGE_CHARS) -> DataFrame:
     """One row per piece: pack_id (id_col), piece, start, length, ids_crc32 (and ids as bytes with keep_ids)."""
     kind = docs.schema[id_col].dataType.simpleString()
     stop = end_id.to_bytes(4, "little")
@@ -235,6 +237,7 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, group_pieces: int =
     if groups == 1:
         return first.drop("row_hash", "fill")
     first = materialize(first)
+    discard(hashed)
     tight = first.where(F.col("fill") > capacity - LOOSE_ROOM)
     loose = first.where(F.col("fill") <= capacity - LOOSE_ROOM).select(*names)
     again = max(1, -(-loose.count() // group_pieces))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt.llm import words as W
-from veldt.llm.common import fresh, materialize, small, text_slices
+from veldt.llm.common import discard, fresh, materialize, small, text_slices
 from veldt.llm.quality_rules import _IS_SYMBOL, _repeated_words, _sums
 
 #: The fit reads at most about so many labelled documents; features that each of the two models may have.
@@ -123,6 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     every = sorted({*chosen["bad"], *chosen["toxic"]})
     wanted = F.array(*[F.lit(f).cast("long") for f in every]) if every else F.array().cast("array<long>")
     local = rows.select(*heads, F.array_intersect("features", wanted).alias("f"), "style").toPandas()
+    discard(rows, sample)
     style = np.stack(local["style"].to_numpy()) if len(local) else np.zeros((0, len(STYLE)))
     mean, scale = (style.mean(0), style.std(0) + 1e-9) if len(local) else (np.zeros(len(STYLE)), np.ones(len(STYLE)))
     model: dict[str, np.ndarray] = {"buckets": np.array(every, np.int64), "mean": mean, "scale": scale}

@@ -18,7 +18,7 @@ from veldt.llm.common import fresh, materialize
 
 #: Samples for each range, so that a range's bytes vary little, and rows that one range holds on average.
 SAMPLES_A_RANGE = 8
-LEAST_RANGES = 2048
+LEAST_RANGES, MOST_RANGES = 2048, 1 << 17
 RANGE_ROWS = 50_000
 #: A range is overfull with so many times the mean bytes.
 OVERFULL = 4
@@ -89,7 +89,9 @@ def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     from the data alone, so reruns agree. Null ids, ties, repeated rows and an empty table need nothing special; other
     columns pass through.
 
-    Only samples (so many for each range, ranges growing with the rows) and one sum for each range reach the driver.
+    Only samples, so many for each range, and one sum for each range reach the driver, and one place for each range is
+    broadcast. Ranges grow with the rows up to MOST_RANGES, so all of that is bounded; larger ranges hold more rows each,
+    which are sorted by one task a range and spill.
     """
     spark = docs.sparkSession
     size, crc, shard, slot, k1, k2, part, start = fresh(docs, "size", "text_crc32", "shard", "slot", "shard_k1", "shard_k2", "shard_range", "shard_start")
@@ -105,7 +107,7 @@ def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         )
     )
     total, rows = keyed.agg(F.coalesce(F.sum(size), F.lit(0)), F.count(F.lit(1))).first()
-    ranges = ranges or max(LEAST_RANGES, rows // RANGE_ROWS)
+    ranges = ranges or min(max(LEAST_RANGES, rows // RANGE_ROWS), MOST_RANGES)
     samples = samples or SAMPLES_A_RANGE * ranges
 
     def drawn(frame: DataFrame, seed: int, rate: float) -> pd.DataFrame:
@@ -132,6 +134,8 @@ def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             break
         more = np.array(middles + _within(drawn(keys, again, 1 / share), share), np.int64)
         splitters = np.unique(np.concatenate([splitters, _packed(more[:, 0], more[:, 1])]))
+    if int(sums["n"].sum()) != rows:
+        raise RuntimeError("the ranges' rows are not those of the table")
     # Shards are runs of ranges: each ends with the range whose end is nearest to its share of all bytes.
     ends = np.cumsum(sums["bytes"].to_numpy(np.int64)) if len(sums) else np.zeros(0, np.int64)
     cuts = [0]

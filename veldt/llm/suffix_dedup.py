@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldt.llm import words as W
-from veldt.llm.common import BROADCAST_ROWS, fresh, id_key, materialize, small, text_slices
+from veldt.llm.common import BROADCAST_ROWS, discard, fresh, id_key, materialize, small, text_slices
 
 GRAM = 32
 #: Repeated grams (a long each) that may be broadcast; surroundings that one partition sorts, and of one anchor.
@@ -354,10 +354,12 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     heads = marks.groupBy("digest").agg(F.min("key").alias("head"))
     copies = materialize(marks.join(heads, "digest").where("key <> head").select("key"))
     n_copies = copies.count()
+    discard(marks)
     texts = base.select("t", "key").join(small(copies, n_copies, BROADCAST_ROWS), "key", "left_anti").where(F.octet_length("t") >= length).select("t", "key")
     anchors = texts.mapInArrow(_anchor_pass(length), "g long, c long, key long, pos int")
     twice = materialize(anchors.groupBy("g").count().where("count > 1").select("g"))
     light = materialize(anchors.join(small(twice, twice.count(), GRAM_ROWS), "g"))
+    discard(twice)
     firsts = materialize(light.groupBy("g", "c").agg(F.min(F.struct("key", "pos")).alias("f")).select("g", "f.key", "f.pos"))
     groups = firsts.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     sorted_ones = firsts.join(groups, "g").groupBy("key").agg(F.collect_list(F.struct("pos", "g", (F.col("m") > HOT_ROWS).alias("hot"))).alias("places"))
