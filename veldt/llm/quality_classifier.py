@@ -216,24 +216,25 @@ def classify(
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col, sample_docs=sample_docs)
     others = [c for c in docs.columns if keep_text or c != text_col]
-    bad_l, toxic_l, sid, host, path, bad, toxic, kept, key, row, moved, scored_text, times = fresh(
-        docs.select(*[f"`{c}`" for c in others]), "bad_logit", "toxic_logit", "site_id", "host", "path", "bad_score", "toxic_score", "kept", "site_key", "site_row", "moved_row", "scored_text", "site_times"
+    bad_l, toxic_l, sid, host, path, bad, toxic, kept, key, row, moved, scored_text, times, own_id, own_site = fresh(
+        docs.select(*[f"`{c}`" for c in others]), "bad_logit", "toxic_logit", "site_id", "host", "path", "bad_score", "toxic_score", "kept", "site_key", "site_row", "moved_row", "scored_text", "site_times", "site_own_id", "site_own"
     )
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others], f"`{bad_l}` double", f"`{toxic_l}` double"])
     source = docs.select(F.col(f"`{text_col}`").cast("string").alias(scored_text), *[f"`{c}`" for c in others])
-    scored = source.mapInArrow(_scorer(model, others, [bad_l, toxic_l]), schema)
+    scored = materialize(source.mapInArrow(_scorer(model, others, [bad_l, toxic_l]), schema).withColumn(row, F.monotonically_increasing_id()))
     named = lambda cols: F.concat_ws("/", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in cols if c in others]) if any(c in others for c in cols) else F.lit("")
     site = lambda h, p: F.struct(h.alias("h"), p.alias("p"))
+    # Sites are joined to rows without their text, which is moved once, in the end.
+    placed = scored.select(row, F.col(f"`{id_col}`").cast("long").alias(own_id), bad_l, toxic_l, F.array(site(named(host_cols), named(path_cols))).alias(own_site))
     if sites is None:
-        scored = scored.withColumn(key, F.array(site(named(host_cols), named(path_cols))))
+        placed = placed.withColumn(key, F.col(own_site))
     else:
         shown = sites.where(sites[id_col].isNotNull()).select(sites[id_col].cast("long").alias(sid), site(F.coalesce(sites["host"], F.lit("")), F.coalesce(sites["path"], F.lit(""))).alias(key))
         every = shown.distinct().groupBy(sid).agg(F.sort_array(F.collect_list(key)).alias(key))
         every = every.withColumn(key, F.transform(key, lambda s: site(s["h"], F.concat_ws("/", s["h"], s["p"]))))
-        scored = scored.join(every, F.col(f"`{id_col}`").cast("long") == F.col(sid), "left").drop(sid)
-        scored = scored.withColumn(key, F.coalesce(key, F.array(site(named(host_cols), named(path_cols)))))
-    scored = materialize(scored.withColumn(row, F.monotonically_increasing_id()))
-    moves = scored.select(F.col(row).alias(moved), bad_l, toxic_l, key, F.explode(key).alias("s"))
+        placed = placed.join(every, F.col(own_id) == F.col(sid), "left").withColumn(key, F.coalesce(key, own_site))
+    placed = materialize(placed.select(row, bad_l, toxic_l, key))
+    moves = placed.select(F.col(row).alias(moved), bad_l, toxic_l, key, F.explode(key).alias("s"))
     in_host = F.size(F.filter(key, lambda x: x["h"] == F.col("s.h")))  # how often the host's sums hold the document
     moves = moves.select(moved, bad_l, toxic_l, in_host.alias(times), F.col("s.h").alias(host), F.col("s.p").alias(path))
     seen = moves
@@ -247,9 +248,10 @@ def classify(
         move = F.least(F.greatest(_logit(rest) - _logit(g["global_mean"]), F.lit(-float(site_shift))), F.lit(float(site_shift)))
         moves = joined.withColumn(score, move).drop(key)
     moves = moves.groupBy(moved).agg(F.avg(bad).alias(bad), F.avg(toxic).alias(toxic))
-    out = scored.join(moves, F.col(row) == F.col(moved)).withColumns({host: F.col(key)[0]["h"], path: F.col(key)[0]["p"]})
-    out = out.withColumns({score: _sigmoid(F.col(logit) + F.col(score)) for logit, score in ((bad_l, bad), (toxic_l, toxic))})
-    out = out.withColumn(kept, (F.col(bad) <= threshold) & (F.col(toxic) <= threshold))
+    judged = placed.join(moves, F.col(row) == F.col(moved)).withColumns({host: F.col(key)[0]["h"], path: F.col(key)[0]["p"]})
+    judged = judged.withColumns({score: _sigmoid(F.col(logit) + F.col(score)) for logit, score in ((bad_l, bad), (toxic_l, toxic))})
+    judged = judged.withColumn(kept, (F.col(bad) <= threshold) & (F.col(toxic) <= threshold)).select(moved, host, path, bad, toxic, kept)
+    out = scored.drop(bad_l, toxic_l).join(judged, F.col(row) == F.col(moved))
     return out.select(*[f"`{c}`" for c in others], host, path, bad, toxic, kept)
 
 
