@@ -29,7 +29,9 @@ OPAQUE_BLACK = 0xFF000000
 STRETCH, BLOCK = 1 << 17, 1 << 21
 #: Least pixels of a back-reference that the grey encoder looks for; bits that a reference, and a further code, are taken
 #: to cost.
-LEAST_REFERENCE, REFERENCE_BITS, CODE_BITS = 6, 24, 100
+LEAST_REFERENCE, REFERENCE_BITS, CODE_BITS = 8, 24, 100
+#: Entropy of a sample in bits from which a predictor is tried; prose has less, and its differences more.
+ROUGH_BITS = 5.5
 
 #: The 120 short distances, nearest first, as (columns to the left, rows up).
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
@@ -77,39 +79,48 @@ class BitWriter:
 # Prefix codes
 
 
-def _reversed(code: int, n: int) -> int:
-    return int(f"{code:0{n}b}"[::-1], 2) if n else 0
+@functools.cache
+def _backwards(bits: int) -> np.ndarray:
+    """The numbers of so many bits with their bits in reverse."""
+    n = np.arange(1 << bits)
+    return sum((((n >> k) & 1) << (bits - 1 - k) for k in range(bits)), np.zeros_like(n))
+
+
+def code_arrays(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols that have a code, in order of their codes, with the codes (first bit lowest) and their lengths."""
+    n = np.asarray(lengths, np.int64)
+    used = np.flatnonzero(n)
+    used = used[np.argsort(n[used], kind="stable")]
+    n = n[used]
+    share = 1 << (MAX_CODE_LENGTH - n)
+    return used, _backwards(MAX_CODE_LENGTH)[(np.cumsum(share) - share) & ((1 << MAX_CODE_LENGTH) - 1)], n
 
 
 def canonical_codes(lengths: list[int]) -> dict[int, int]:
     """Symbol -> code, with its first bit lowest."""
-    out, code, before = {}, 0, 0
-    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
-        code <<= n - before
-        before = n
-        out[s] = _reversed(code, n)
-        code += 1
-    return out
+    symbols, codes, _ = code_arrays(lengths)
+    return dict(zip(symbols.tolist(), codes.tolist(), strict=True))
 
 
 class PrefixCode:
     """A table for windows as wide as the longest code, or one symbol that takes no bits."""
 
     def __init__(self, lengths: list[int], single: int | None = None):
-        used = [s for s, n in enumerate(lengths) if n]
-        self.single = used[0] if single is None and len(used) == 1 else single
         self.symbols = self.lengths = None
-        self.highest = max(used, default=self.single or 0)
-        if self.single is not None:
+        self.single = self.highest = single
+        if single is not None:
+            return
+        used, _, n = code_arrays(lengths)
+        if len(used) == 1:
+            self.single = self.highest = int(used[0])
             return
-        if not used or sum(1 << (MAX_CODE_LENGTH - lengths[s]) for s in used) != 1 << MAX_CODE_LENGTH:
+        if not len(used) or (1 << (MAX_CODE_LENGTH - n)).sum() != 1 << MAX_CODE_LENGTH:
             raise ValueError("not a complete prefix code")
-        self.mask = (1 << max(lengths[s] for s in used)) - 1
-        self.symbols = np.zeros(self.mask + 1, np.uint16)
-        self.lengths = np.zeros(self.mask + 1, np.uint8)
-        for s, code in canonical_codes(lengths).items():
-            self.symbols[code :: 1 << lengths[s]] = s
-            self.lengths[code :: 1 << lengths[s]] = lengths[s]
+        most = int(n[-1])
+        self.mask, self.highest = (1 << most) - 1, int(used.max())
+        times, order = 1 << (most - n), _backwards(most)  # windows whose bits are in reverse stand in order of the codes
+        self.symbols = np.repeat(used, times)[order].astype(np.uint16)
+        self.lengths = np.repeat(n, times)[order].astype(np.uint8)
 
     def read(self, bits: BitReader) -> int:
         if self.single is not None:
@@ -138,20 +149,36 @@ def read_prefix_code(bits: BitReader, alphabet: int) -> PrefixCode:
     left = alphabet
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
-    at, before = 0, 8
+    # the lengths are at most 14 bits each: they are taken off one number that holds them all
+    first = bits.at
+    window = int.from_bytes(bits.data[first >> 3 : (first >> 3) + 2 * alphabet + 8], "little") >> (first & 7)
+    only = code.single
+    symbols, sizes, mask = ([], [], 0) if only is not None else (code.symbols.tolist(), code.lengths.tolist(), code.mask)
+    at, before, taken = 0, 8, 0
     while at < alphabet and left:
         left -= 1
-        s = code.read(bits)
+        if only is None:
+            s, n = symbols[window & mask], sizes[window & mask]
+            window >>= n
+            taken += n
+        else:
+            s = only
         if s < 16:
             lengths[at] = s
             before = s or before
             at += 1
             continue
-        value, times = (before, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
+        extra = (2, 3, 7)[s - 16]
+        times = (11 if s == 18 else 3) + (window & ((1 << extra) - 1))
+        window >>= extra
+        taken += extra
         if at + times > alphabet:
             raise ValueError("too many code lengths")
-        lengths[at : at + times] = [value] * times
+        lengths[at : at + times] = [before if s == 16 else 0] * times
         at += times
+    bits.at = first + taken
+    if bits.at > bits.end:
+        raise ValueError("the stream ends too soon")
     return PrefixCode(lengths)
 
 
@@ -183,14 +210,16 @@ def limited_lengths(counts: list[int], most: int = MAX_CODE_LENGTH) -> list[int]
         least *= 2
 
 
+def write_single_code(bits: BitWriter, symbol: int) -> None:
+    """A code with one symbol, which takes no bits."""
+    bits.write(0b101 if symbol > 1 else 0b001, 3)
+    bits.write(symbol, 8 if symbol > 1 else 1)
+
+
 def write_prefix_code(bits: BitWriter, lengths: list[int]) -> None:
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) <= 1 and (not used or used[0] < 256):
-        s = used[0] if used else 0
-        bits.write(1, 1)
-        bits.write(0, 1)
-        bits.write(int(s > 1), 1)
-        bits.write(s, 8 if s > 1 else 1)
+        write_single_code(bits, used[0] if used else 0)
         return
     if len(used) == 2 and used[1] < 256:
         bits.write(1, 1)
@@ -283,16 +312,19 @@ def near_distances(width: int) -> np.ndarray:
 
 def _followed(steps: np.ndarray, first: int, end: int) -> np.ndarray:
     """The positions from first on, each by its own step from the one before, up to the end."""
-    one = steps.astype(np.int64)
-    two = (one + one[np.minimum(np.arange(len(one)) + one, len(one) - 1)]).astype(np.uint8).tobytes()  # two steps at once
-    places, p = [], first
+    last, here = len(steps) - 1, np.arange(len(steps), dtype=np.int32)
+    two = steps + steps[np.minimum(here + steps, last)]
+    four = two + two[np.minimum(here + two, last)]  # a step is at most 58 bits, so four fit into a byte
+    places, p, jump = [], first, four.tobytes()
     put = places.append
     while p < end:
         put(p)
-        p += two[p]
-    even = np.array(places, np.int64)
-    at = np.empty(2 * len(even), np.int64)
-    at[::2], at[1::2] = even, even + one[even]
+        p += jump[p]
+    at = np.empty((len(places), 4), np.int64)
+    at[:, 0] = places
+    at[:, 2] = at[:, 0] + two[at[:, 0]]
+    at[:, 1::2] = at[:, ::2] + steps[np.minimum(at[:, ::2], last)]
+    at = at.ravel()
     return at[at < end]
 
 
@@ -690,9 +722,7 @@ def _write_grey(bits: BitWriter, flat: np.ndarray, width: int, found: tuple[np.n
     far_lengths = limited_lengths(distances.tolist())
     write_prefix_code(bits, lengths)
     for only in (0, 0, alpha):
-        row = [0] * 256
-        row[only] = 1
-        write_prefix_code(bits, row)
+        write_single_code(bits, only)
     write_prefix_code(bits, far_lengths)
     codes, sizes = _code_table(lengths)
     if use:
@@ -723,8 +753,8 @@ def _code_table(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     codes, sizes = np.zeros(len(lengths), np.uint64), np.array(lengths, np.int64)
     if (sizes > 0).sum() <= 1:
         return codes, np.zeros(len(lengths), np.int64)
-    for s, code in canonical_codes(lengths).items():
-        codes[s] = code
+    symbols, found, _ = code_arrays(lengths)
+    codes[symbols] = found
     return codes, sizes
 
 
@@ -765,7 +795,7 @@ def encode_grey(samples: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.nda
         flat, width, found = (index << (each * np.arange(1 << pack, dtype=np.uint8))).sum(-1).astype(np.uint8).ravel(), wide, None
     else:
         best = _entropy_bits(counts) - CODE_BITS
-        for mode in (1, 2):
+        for mode in (1, 2) if best > ROUGH_BITS * len(flat) else ():
             other = _differences(samples, mode)
             if (cost := _entropy_bits(np.bincount(other.ravel(), minlength=256))) < best:
                 best, flat, found, used = cost, other.ravel(), None, ["predictor"]
