@@ -133,6 +133,21 @@ def test_memo_that_overflows():
     assert max(map(len, memo.known)) <= tokens.MEMO_WORD_BYTES
 
 
+def test_memo_learns_signs_behind_letters_once(monkeypatch):
+    """Words that differ in the signs behind them are encoded as letters once; letters that get marks keep their signs."""
+    ids, memo = reference_ids(), tokens.WordMemo(tokens.DEFAULT_VOCABULARY)
+    odd = ["\u0f69", "\u095e", "a\u0a5a", "\ufb46", "\u0130", "x\u0130", "\u0130x", "é", "e\u0301", "ß", "日本", "<|endoftext", "it's", "a\u3000b", "\u3000", "ª", "ΣΑΣ", "stone", "Stone"]
+    signs = ["", ",", ".", "'", "'s", "...", "!?", "<|", "|>", ",é", "\u0301"]
+    for t in (" ".join(w + s for w in odd for s in signs), " ".join(w + s for s in signs for w in reversed(odd)), *[w + s for w in odd for s in signs]):
+        (got,) = memo.encode([t.encode()])
+        assert np.frombuffer(got, "<u4").tolist() == ids(t), t
+    memo, seen = tokens.WordMemo(tokens.DEFAULT_VOCABULARY), []
+    learn_any = memo.learn_any
+    monkeypatch.setattr(memo, "learn_any", lambda words: (seen.extend(words), learn_any(words)))
+    memo.learn({b"stone", b"stone,", b"stone.", b"river.", b"river,"})
+    assert sorted(seen) == [b",", b"."] and {b"stone", b"river", b"river,"} <= memo.known.keys()
+
+
 def small_vocabularies(folder):
     """Vocabulary files that are cased, that cross blanks, and that have a special string with a blank."""
     from tokenizers import AddedToken, Regex, Tokenizer, models, normalizers, pre_tokenizers

@@ -35,6 +35,9 @@ OVERLAP_CHARS = 512
 MEMO_BYTES, ENTRY_BYTES = 224 << 20, 160
 #: Longer words are encoded each time and not remembered.
 MEMO_WORD_BYTES = 64
+#: The expression that makes letters one pre-token, and a run of signs another one; and the signs that may end a word.
+LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 
 _loaded: dict[str, object] = {}
@@ -105,6 +108,23 @@ def independent_words(tokenizer) -> bool:
     return not any(c.isspace() for t in tokenizer.get_added_tokens_decoder().values() for c in t.content)
 
 
+def word_ends(tokenizer) -> np.ndarray | None:
+    """Of each id, whether it ends a pre-token, for vocabularies that keep letters and the signs behind them apart.
+
+    None for any other, and where a special string could be letters alone, or letters with signs behind them."""
+    config = json.loads(tokenizer.to_str())
+    first = (config["pre_tokenizer"].get("pretokenizers") or [{}])[0]
+    suffix = config["model"].get("end_of_word_suffix")
+    if first.get("pattern", {}).get("Regex") != LETTERS_APART or config["model"]["type"] != "BPE" or not suffix:
+        return None
+    contents = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    if any(c[:1].encode() not in [SIGNS[i : i + 1] for i in range(len(SIGNS))] or not any(x.isalpha() for x in c) for c in contents):
+        return None
+    ends = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+    ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+    return ends
+
+
 class WordMemo:
     """Ids of words as little-endian unsigned 32-bit bytes, each distinct word encoded once."""
 
@@ -113,6 +133,7 @@ class WordMemo:
         self.independent = independent_words(self.tokenizer)
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if self.independent else []
         self.lowers = self.independent and self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AZ") == "az"
+        self.ends = word_ends(self.tokenizer) if self.independent else None
         self.forget()
 
     def forget(self) -> None:
@@ -134,20 +155,59 @@ class WordMemo:
             self.forget()
         new = [w for w in words if w not in self.known]
         short = [w for w in new if len(w) <= MEMO_WORD_BYTES]
-        for at in range(0, len(short), 4096):
-            some = short[at : at + 4096]
-            texts = [w.decode() for w in some]
-            ends = np.cumsum([len(t) + 1 for t in texts])
-            got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        if self.ends is None:
+            self.learn_any(short)
+        else:
+            self.learn_apart(short)
+        return {w: self.ids(w) for w in new if len(w) > MEMO_WORD_BYTES}
+
+    def remember(self, words: list[bytes], raw: bytes, cuts: list[int]) -> None:
+        """raw holds the ids of the words, each up to its cut."""
+        last = 0
+        for w, cut in zip(words, cuts, strict=True):
+            self.known[w] = raw[4 * last : 4 * cut]
+            last = cut
+        self.bytes += sum(map(len, words)) + len(raw) + ENTRY_BYTES * len(words)
+
+    def learn_any(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ends = np.cumsum([len(w.decode()) + 1 for w in some])
+            got = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
             ids = np.array(got.ids, "<u4")
             starts = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(starts, ends).tolist()
-            raw, last = ids.tobytes(), 0
-            for w, cut in zip(some, cuts, strict=True):
-                self.known[w] = raw[4 * last : 4 * cut]
-                last = cut
-            self.bytes += sum(map(len, some)) + len(raw) + ENTRY_BYTES * len(some)
-        return {w: self.ids(w) for w in new if len(w) > MEMO_WORD_BYTES}
+            self.remember(some, ids.tobytes(), np.searchsorted(starts, ends).tolist())
+
+    def learn_apart(self, words: list[bytes]) -> None:
+        """Letters are one pre-token, which ends where an id says so; signs behind letters are another. Letters beyond Latin-1
+        may get marks when they are normalized, which join the signs behind them; they stay together."""
+        letters, split, rest = set(), [], set()
+        for w in words:
+            stem = w.rstrip(SIGNS)
+            text = stem.decode()
+            if not text.isalpha() or (len(stem) < len(w) and text[-1] > "\xff"):
+                rest.add(w)
+                continue
+            if len(stem) < len(w):
+                split.append((w, stem, tail := w[len(stem) :]))
+                if tail not in self.known:
+                    rest.add(tail)
+            if stem not in self.known:
+                letters.add(stem)
+        letters = list(letters)
+        for at in range(0, len(letters), 512):
+            some = letters[at : at + 512]
+            (got,) = self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):  # none has fewer than one, so each has one
+                self.remember(some, ids.tobytes(), cuts.tolist())
+            else:  # letters to Python, but not to the expression after normalizing
+                self.learn_any(some)
+        self.learn_any(list(rest))
+        for w, stem, tail in split:
+            ids = self.known[w] = self.known[stem] + self.known[tail]
+            self.bytes += len(w) + len(ids) + ENTRY_BYTES
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text."""
