@@ -194,6 +194,16 @@ def test_inserts_into_temporary_tables_append(engine):
     assert len(engine.parts["log"]) == 3
 
 
+def test_temporary_tables_keep_their_order(engine):
+    """Also where a later file is the larger one, which Spark reads first."""
+    engine.sql("CREATE TEMP TABLE growing AS VALUES (9), (8), (7); INSERT INTO growing FROM SEQUENCE WHERE value >= 10 AND value < 5000 SELECT value")
+    want = [9, 8, 7, *range(10, 5000)]
+    assert rows(engine, "FROM growing") == [(v,) for v in want]
+    assert rows(engine, "FROM growing SELECT rowid, col1") == list(enumerate(want))
+    assert rows(engine, "FROM growing WHERE col1 < 12 SELECT col1 LIMIT 4") == [(9,), (8,), (7,), (10,)]
+    assert rows(engine, "FROM growing SELECT COUNT(*) AS n, MAX(col1) AS top") == one(len(want), 4999)
+
+
 def test_indexes_are_read(engine):
     engine.sql("CREATE INDEX ON planets (kind, moons)")
     query = "FROM planets WHERE INDEX('planets__kind__moons.index') > 'gas' SELECT rowid, planet, kind"

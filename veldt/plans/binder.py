@@ -243,6 +243,9 @@ class Binder:
                 side = relation.df.toDF(*names, *[f"t{i}_rowid"] * bool(relation.rowid))
                 if i in self.rowids and not relation.rowid:
                     side = numbered(side, f"t{i}_rowid")
+                if relation.in_order and df is None:  # Spark leaves the sort out where a join, grouping or order follows
+                    place = [f"t{i}_rowid"] if i in self.rowids else ["_metadata.file_path", "_metadata.row_index"]
+                    side = side.orderBy(*map(F.col, place))
             if df is None:
                 df = side
                 continue

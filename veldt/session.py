@@ -189,7 +189,7 @@ class Engine:
                 raise DialectError(f"{node.name} exists")
             bound = self._result(node)
             self.parts[node.name] = [new_path(self.spark)]
-            self.temp[node.name] = Relation(snapshot(bound.df, *self.parts[node.name]), bound.names, bound.kinds)
+            self.temp[node.name] = Relation(snapshot(bound.df, *self.parts[node.name]), bound.names, bound.kinds, in_order=True)
             return None
         self._write(self._result(node), node.name, "errorifexists")
         return None
@@ -232,7 +232,7 @@ class Engine:
             # only what is new is written, to a folder whose name sorts behind those of the earlier rows
             first = self.parts[node.name][0]
             self.parts[node.name].append(f"{first}_{len(self.parts[node.name]):06}")
-            self.temp[node.name] = Relation(snapshot(new, *self.parts[node.name]), old.names, old.kinds)
+            self.temp[node.name] = Relation(snapshot(new, *self.parts[node.name]), old.names, old.kinds, in_order=True)
             self._outdate(node.name)
             return None
         old = self.relation(node.name)

@@ -16,7 +16,8 @@ class Relation:
     """Columns with their dialect names (repeats allowed) and kinds; the DataFrame has one column for each, in order.
 
     generated: calendar or sequence for tables that are made from bounds; then there is no DataFrame yet. rowid: the
-    DataFrame's last column, if that holds the row numbers of the table it is a copy of.
+    DataFrame's last column, if that holds the row numbers of the table it is a copy of. in_order: queries get the rows by
+    file name and place in the file, for tables whose files Spark would read the largest first.
     """
 
     df: DataFrame | None
@@ -24,6 +25,7 @@ class Relation:
     kinds: tuple[str, ...]
     generated: str | None = None
     rowid: str | None = None
+    in_order: bool = False
 
 
 def relation_of(df: DataFrame, names: tuple[str, ...] | None = None, kinds: tuple[str, ...] | None = None, text: bool = False) -> Relation:
