@@ -128,6 +128,17 @@ def test_references_of_a_run():
         assert doc[s - d] == doc[s + n - 1] and all(data[s + k] == data[s + k - d] for k in range(n))
 
 
+def test_equal_texts_are_stored_equally_wherever_they_stand():
+    """Also where a block of the search for references would end inside a text."""
+    rng = np.random.default_rng(4)
+    word = rng.bytes(40)
+    payload = media.payload_of(b"".join(word + rng.bytes(9) for _ in range(4000)))
+    before = media.payload_of(rng.bytes(webp.BLOCK - len(payload) // 2))
+    alone = media.store_run([payload])[0]
+    parts = [before[at : at + 64000] for at in range(0, len(before), 64000)]
+    assert "references" in alone[1] and media.store_run([*parts, payload, payload])[-2:] == [alone, alone]
+
+
 def test_hand_made_stream_with_references():
     """Eight grey pixels, put together by hand: two literals, then a reference of six pixels at distance 2."""
     bits = webp.BitWriter()

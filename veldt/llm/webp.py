@@ -631,12 +631,15 @@ def references(data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
     Every place is looked up in a sorted list of all strings of LEAST_REFERENCE bytes for the place before it that has
     the same string. Neighbours at one distance are one run; runs are taken from left to right as far as nothing covers
-    them, with LEAST_REFERENCE pixels at least. Blocks of BLOCK bytes are searched each for themselves.
+    them, with LEAST_REFERENCE pixels at least. Blocks of BLOCK bytes at most are searched each for themselves; they end
+    where documents end, so that what a document gets does not depend on its neighbours. One longer than that is cut.
     """
-    blocks = [_block_references(data[at : at + BLOCK], doc[at : at + BLOCK]) for at in range(0, max(len(data), 1), BLOCK)]
-    if len(blocks) == 1:
-        return blocks[0]
-    return np.concatenate([b[0] + k * BLOCK for k, b in enumerate(blocks)]), np.concatenate([b[1] for b in blocks]), np.concatenate([b[2] for b in blocks])
+    edges, cuts = np.append(np.flatnonzero(np.diff(doc)) + 1, len(data)), [0]
+    while cuts[-1] < len(data):
+        fits = int(edges[max(np.searchsorted(edges, cuts[-1] + BLOCK, "right") - 1, 0)])
+        cuts.append(fits if cuts[-1] < fits <= cuts[-1] + BLOCK else cuts[-1] + BLOCK)
+    blocks = [(a, _block_references(data[a:b], doc[a:b])) for a, b in zip(cuts, cuts[1:])] or [(0, _block_references(data, doc))]
+    return tuple(np.concatenate([found[k] + (at if k == 0 else 0) for at, found in blocks]) for k in range(3))
 
 
 def _block_references(data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
