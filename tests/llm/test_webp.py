@@ -139,6 +139,49 @@ def test_equal_texts_are_stored_equally_wherever_they_stand():
     assert "references" in alone[1] and media.store_run([*parts, payload, payload])[-2:] == [alone, alone]
 
 
+def run_of_payloads(seed):
+    """Prose of many lengths, texts that need a palette or a predictor, code lengths of 1 to 15, long and short texts."""
+    rng = np.random.default_rng(seed)
+    words = [rng.integers(97, 123, rng.integers(1, 9)).astype(np.uint8).tobytes() for _ in range(400)]
+    texts = [b" ".join(words[k % 400] for k in rng.zipf(1.3, rng.integers(1, 900)).tolist()) for _ in range(150)]
+    texts += [b"", b"a" * 40, b"ab" * 500, bytes(range(256)) * 3, np.repeat(np.arange(20), 2 ** np.arange(20) // 8).astype(np.uint8).tobytes()]
+    texts += [rng.bytes(n) for n in (1, 64, 500, 30000)] + [GREY[c](rng).astype(np.uint8).tobytes() for c in GREY]
+    texts += [b"x" * ((1 << 20) + 65), texts[0] * 90, texts[1], texts[1]]
+    return [media.payload_of(texts[k]) for k in rng.permutation(len(texts))]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_images_of_a_run_are_coded_side_by_side(seed, monkeypatch):
+    """The same files as one by one, and the same samples back, with few files decoded one by one."""
+    payloads = run_of_payloads(seed)
+    stored = media.store_run(payloads)
+    assert stored == [media.store(p) for p in payloads] and {"", "palette", "predictor", "references"} <= {",".join(used) for _, used in stored}
+    alone, decode = [], webp.decode
+    monkeypatch.setattr(webp, "decode", lambda data: alone.append(data) or decode(data))
+    back = media.load_run([m for m, _ in stored])
+    assert [b"".join(i.tobytes() for i in images) for images in back] == payloads
+    assert all(i.dtype == np.uint8 and i.shape[1] == media.ROW for images in back for i in images)
+    assert len(alone) < 40 < len(payloads) - 100
+    monkeypatch.setattr(media, "RUN_IMAGES", 50)
+    assert media.store_run(payloads) == stored
+    assert [b"".join(i.tobytes() for i in images) for images in media.load_run([m for m, _ in stored])] == payloads
+
+
+def test_images_of_any_width_are_decoded_side_by_side():
+    rng = np.random.default_rng(3)
+    images = [np.tile(rng.integers(0, 60, width), 40).astype(np.uint8).reshape(-1, width) for width in range(20, 80)]
+    files = [webp.encode_grey(i)[0] for i in images]
+    assert all(np.array_equal(a, b) for a, b in zip(webp.decode_greens(files), images, strict=True))
+
+
+def test_broken_streams_in_a_run_raise():
+    rng = np.random.default_rng(6)
+    files = [webp.encode_grey(rng.integers(0, 40, (9, 64)).astype(np.uint8))[0] for _ in range(40)]
+    for broken in (files[7][:-60], b"RIFX" + files[7][4:], files[7][:60]):
+        with pytest.raises(ValueError):
+            webp.decode_greens([*files[:7], broken, *files[8:]])
+
+
 def test_hand_made_stream_with_references():
     """Eight grey pixels, put together by hand: two literals, then a reference of six pixels at distance 2."""
     bits = webp.BitWriter()

@@ -18,7 +18,8 @@ from veldt.llm.tokens import text_runs
 ROW = 64
 #: Samples that one image holds; longer payloads are stored as several files in a row.
 IMAGE_SAMPLES = ROW * webp.MAX_SIDE
-Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: Images that are coded side by side.
+RUN_IMAGES = 2048
 
 
 def payload_of(text: bytes) -> bytes:
@@ -26,40 +27,53 @@ def payload_of(text: bytes) -> bytes:
     return text + bytes(-len(text) % ROW or (0 if text else ROW))
 
 
-def store(payload: bytes, found: Found | None = None) -> tuple[bytes, list[str]]:
-    """The payload as grey images with rows of 64 samples, and the features of the format that they use. found: the
-    references of the whole payload, where they are known."""
+def store(payload: bytes) -> tuple[bytes, list[str]]:
+    """The payload as grey images with rows of 64 samples, and the features of the format that they use."""
     parts, used = [], []
     for at in range(0, len(payload), IMAGE_SAMPLES):
         some = np.frombuffer(payload, np.uint8, min(IMAGE_SAMPLES, len(payload) - at), at)
-        media, features = webp.encode_grey(some.reshape(-1, ROW), found if len(payload) <= IMAGE_SAMPLES else None)
+        media, features = webp.encode_grey(some.reshape(-1, ROW))
         parts.append(media)
         used += features
     return b"".join(parts), sorted(set(used))
 
 
 def store_run(payloads: list[bytes]) -> list[tuple[bytes, list[str]]]:
-    """store() of each payload, with one search for the references of all."""
-    sizes = np.array([len(p) for p in payloads], np.int64)
-    ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(payloads), np.uint8)
-    start, length, far = webp.references(data, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes))
-    cut = np.searchsorted(start, np.concatenate([[0], ends]))
-    out = []
-    for k, payload in enumerate(payloads):
-        own = slice(cut[k], cut[k + 1])
-        out.append(store(payload, (start[own] - (ends[k] - sizes[k]), length[own], far[own])))
+    """store() of each payload; those of one image are written together, so many at once."""
+    out = [store(p) if len(p) > IMAGE_SAMPLES else None for p in payloads]
+    single = [k for k, made in enumerate(out) if made is None]
+    for at in range(0, len(single), RUN_IMAGES):
+        some = single[at : at + RUN_IMAGES]
+        data = np.frombuffer(b"".join(payloads[k] for k in some), np.uint8)
+        for k, (media, used) in zip(some, webp.encode_greys(data, np.array([len(payloads[k]) for k in some]), ROW), strict=True):
+            out[k] = media, sorted(used)
     return out
 
 
-def load(media: bytes) -> list[np.ndarray]:
-    """The images of a stored payload, height x width of 8-bit samples each."""
-    images, at = [], 0
+def _images(media: bytes) -> list[bytes]:
+    files, at = [], 0
     while at < len(media):
         end = at + 8 + int.from_bytes(media[at + 4 : at + 8], "little")
-        images.append((webp.decode(media[at:end]) >> np.uint32(8)).astype(np.uint8))
+        files.append(media[at:end])
         at = end
-    return images
+    return files
+
+
+def load(media: bytes) -> list[np.ndarray]:
+    """The images of a stored payload, height x width of 8-bit samples each."""
+    return [(webp.decode(file) >> np.uint32(8)).astype(np.uint8) for file in _images(media)]
+
+
+def load_run(stored: list[bytes]) -> list[list[np.ndarray]]:
+    """load() of each stored payload; those of one image are decoded together, so many at once."""
+    files = [_images(media) for media in stored]
+    out = [load(media) if len(own) != 1 else None for media, own in zip(stored, files, strict=True)]
+    single = [k for k, images in enumerate(out) if images is None]
+    for at in range(0, len(single), RUN_IMAGES):
+        some = single[at : at + RUN_IMAGES]
+        for k, image in zip(some, webp.decode_greens([files[k][0] for k in some]), strict=True):
+            out[k] = [image]
+    return out
 
 
 def features(samples: np.ndarray) -> str:
@@ -96,8 +110,8 @@ def media_columns(docs: DataFrame, *, text_col: str = "text", keep_media: bool =
             at = 0
             for run in text_runs(batch.column(0)):
                 rows = []
-                for text, (media, used) in zip(run, store_run([payload_of(t) for t in run]), strict=True):
-                    images = load(media)
+                stored = store_run([payload_of(t) for t in run])
+                for text, (media, used), images in zip(run, stored, load_run([media for media, _ in stored]), strict=True):
                     samples = images[0].ravel() if len(images) == 1 else np.concatenate([i.ravel() for i in images])
                     back = samples.tobytes()
                     row = [len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), features(samples), ",".join(used)]

@@ -2,7 +2,8 @@
 
 The decoder reads prefix codes, back-references, the colour cache, meta prefix codes, and inverts the predictor,
 cross-colour, subtract-green and palette transforms. Grey images (green is the only coded channel, one group of codes,
-no cache) are decoded with array operations, their back-references included; everything else pixel by pixel.
+no cache) are decoded with array operations, their back-references included; everything else pixel by pixel. Many grey
+images without transforms are written, and read, with array operations over all of them.
 encode_grey chooses back-references, a palette with bundled pixels, and a predictor where they make the file shorter; a
 colour cache can't, since a literal of a grey image costs no more than a cache code. encode takes any ARGB image and has
 every feature. Images are arrays of height x width unsigned 32-bit ARGB.
@@ -11,7 +12,7 @@ every feature. Images are arrays of height x width unsigned 32-bit ARGB.
 from __future__ import annotations
 
 import functools
-import heapq
+import itertools
 
 import numpy as np
 
@@ -25,6 +26,9 @@ CACHE_FACTOR = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 OPAQUE_BLACK = 0xFF000000
 
+#: Starts, lengths and distances of back-references.
+References = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 #: Bytes of a stream that are looked up at once, and of samples that are searched for references at once.
 STRETCH, BLOCK = 1 << 17, 1 << 21
 #: Least pixels of a back-reference that the grey encoder looks for; bits that a reference, and a further code, are taken
@@ -33,6 +37,10 @@ LEAST_REFERENCE, REFERENCE_BITS, CODE_BITS = 8, 24, 100
 #: Entropy of a sample in bits from which a predictor is tried; prose has less, and its differences more.
 ROUGH_BITS = 5.5
 
+#: Least streams to decode side by side, codes that each goes on between looks for streams that have ended, and bits that
+#: a look-up takes at once (a byte's).
+LEAST_LANES, LANE_STEPS, LANE_BITS = 24, 64, 8
+
 #: The 120 short distances, nearest first, as (columns to the left, rows up).
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
@@ -42,13 +50,13 @@ class BitReader:
         self.data, self.at = data + bytes(16), 0
         self.end = 8 * len(data)
 
-    def peek(self) -> int:
-        """At least 24 bits from the current position."""
+    def peek(self, n: int = 24) -> int:
+        """At least so many bits from the current position."""
         p = self.at >> 3
-        return int.from_bytes(self.data[p : p + 4], "little") >> (self.at & 7)
+        return int.from_bytes(self.data[p : p + (n >> 3) + 2], "little") >> (self.at & 7)
 
     def read(self, n: int) -> int:
-        value = self.peek() & ((1 << n) - 1)
+        value = self.peek(n) & ((1 << n) - 1)
         self.at += n
         if self.at > self.end:
             raise ValueError("the stream ends too soon")
@@ -62,18 +70,21 @@ class BitWriter:
     def write(self, value: int, n: int) -> None:
         self.value |= value << self.n
         self.n += n
-        while self.n >= 8:
-            self.done.append(self.value & 255)
-            self.value >>= 8
-            self.n -= 8
+        if self.n > 4096:
+            whole = self.n >> 3
+            self.done += (self.value & ((1 << 8 * whole) - 1)).to_bytes(whole, "little")
+            self.value >>= 8 * whole
+            self.n &= 7
+
+    def __len__(self) -> int:
+        return 8 * len(self.done) + self.n
 
     def bits(self) -> np.ndarray:
         """All bits written so far, first bit first."""
-        whole = np.frombuffer(bytes(self.done) + bytes([self.value]), np.uint8)
-        return np.unpackbits(whole, bitorder="little")[: 8 * len(self.done) + self.n]
+        return np.unpackbits(np.frombuffer(self.bytes(), np.uint8), bitorder="little")[: len(self)]
 
     def bytes(self) -> bytes:
-        return bytes(self.done) + (bytes([self.value]) if self.n else b"")
+        return bytes(self.done) + self.value.to_bytes((self.n + 7) >> 3, "little")
 
 
 # Prefix codes
@@ -96,10 +107,18 @@ def code_arrays(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return used, _backwards(MAX_CODE_LENGTH)[(np.cumsum(share) - share) & ((1 << MAX_CODE_LENGTH) - 1)], n
 
 
+@functools.cache
+def _backwards_list() -> list[int]:
+    return _backwards(MAX_CODE_LENGTH).tolist()
+
+
 def canonical_codes(lengths: list[int]) -> dict[int, int]:
     """Symbol -> code, with its first bit lowest."""
-    symbols, codes, _ = code_arrays(lengths)
-    return dict(zip(symbols.tolist(), codes.tolist(), strict=True))
+    codes, reverse, at = {}, _backwards_list(), 0
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        codes[s] = reverse[at]
+        at += 1 << (MAX_CODE_LENGTH - n)
+    return codes
 
 
 class PrefixCode:
@@ -131,34 +150,47 @@ class PrefixCode:
 
 
 def read_prefix_code(bits: BitReader, alphabet: int) -> PrefixCode:
+    return PrefixCode(*read_lengths(bits, alphabet))
+
+
+def read_lengths(bits: BitReader, alphabet: int) -> tuple[list[int], int | None]:
+    """The code length of each symbol, or the one symbol that takes no bits."""
     lengths = [0] * alphabet
     if bits.read(1):
         two = bits.read(1)
         first = bits.read(8 if bits.read(1) else 1)
         if not two:
-            return PrefixCode(lengths, first)
+            return lengths, first
         second = bits.read(8)
         if first == second or max(first, second) >= alphabet:
             raise ValueError("bad simple code")
         lengths[first] = lengths[second] = 1
-        return PrefixCode(lengths)
+        return lengths, None
     code_lengths = [0] * len(CODE_LENGTH_ORDER)
-    for i in range(4 + bits.read(4)):
-        code_lengths[CODE_LENGTH_ORDER[i]] = bits.read(3)
-    code = PrefixCode(code_lengths)
+    shown = 4 + bits.read(4)
+    packed = bits.read(3 * shown)
+    for s in CODE_LENGTH_ORDER[:shown]:
+        code_lengths[s] = packed & 7
+        packed >>= 3
+    codes = canonical_codes(code_lengths)
+    only = next(iter(codes)) if len(codes) == 1 else None
+    most, whole = max(code_lengths), sum(1 << (7 - n) for n in code_lengths if n)
+    if only is None and whole != 1 << 7:
+        raise ValueError("not a complete prefix code")
+    mask, table = (1 << most) - 1, [(0, 0)] * (1 << most)
+    for s, c in codes.items():
+        table[c :: 1 << code_lengths[s]] = [(s, code_lengths[s])] * (1 << (most - code_lengths[s]))
     left = alphabet
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
     # the lengths are at most 14 bits each: they are taken off one number that holds them all
     first = bits.at
     window = int.from_bytes(bits.data[first >> 3 : (first >> 3) + 2 * alphabet + 8], "little") >> (first & 7)
-    only = code.single
-    symbols, sizes, mask = ([], [], 0) if only is not None else (code.symbols.tolist(), code.lengths.tolist(), code.mask)
     at, before, taken = 0, 8, 0
     while at < alphabet and left:
         left -= 1
         if only is None:
-            s, n = symbols[window & mask], sizes[window & mask]
+            s, n = table[window & mask]
             window >>= n
             taken += n
         else:
@@ -179,7 +211,7 @@ def read_prefix_code(bits: BitReader, alphabet: int) -> PrefixCode:
     bits.at = first + taken
     if bits.at > bits.end:
         raise ValueError("the stream ends too soon")
-    return PrefixCode(lengths)
+    return lengths, None
 
 
 def limited_lengths(counts: list[int], most: int = MAX_CODE_LENGTH) -> list[int]:
@@ -190,15 +222,27 @@ def limited_lengths(counts: list[int], most: int = MAX_CODE_LENGTH) -> list[int]
         for _, s in used:
             lengths[s] = 1
         return lengths
-    least = 1
+    least, last = 1, 2 * len(used) - 1
     while True:
-        heap = [(max(n, least), k) for k, (n, _) in enumerate(used)]
-        heapq.heapify(heap)
-        parent = [0] * (2 * len(used) - 1)
-        for new in range(len(used), 2 * len(used) - 1):
-            n1, a = heapq.heappop(heap)
-            n2, b = heap[0]
-            heapq.heapreplace(heap, (n1 + n2, new))
+        # leaves by number, then the nodes in the order they are made: both are sorted, so the least stand in front
+        leaves = sorted([(max(n, least), k) for k, (n, _) in enumerate(used)])
+        leaves.append((1 << 62, 0))
+        weights, parent = [1 << 62] * (last + 1), [0] * last
+        leaf, node = 0, len(used)
+        for new in range(len(used), last):
+            if leaves[leaf][0] <= weights[node]:
+                n1, a = leaves[leaf]
+                leaf += 1
+            else:
+                n1, a = weights[node], node
+                node += 1
+            if leaves[leaf][0] <= weights[node]:
+                n2, b = leaves[leaf]
+                leaf += 1
+            else:
+                n2, b = weights[node], node
+                node += 1
+            weights[new] = n1 + n2
             parent[a] = parent[b] = new
         depth = [0] * len(parent)
         for k in range(len(parent) - 2, -1, -1):
@@ -228,12 +272,9 @@ def write_prefix_code(bits: BitWriter, lengths: list[int]) -> None:
         bits.write(used[0], 8)
         bits.write(used[1], 8)
         return
-    tokens, at, end = [], 0, used[-1] + 1
-    while at < end:
-        n, run = lengths[at], 1
-        while at + run < end and lengths[at + run] == n:
-            run += 1
-        at += run
+    tokens, end = [], used[-1] + 1
+    for n, same in itertools.groupby(lengths[:end]):
+        run = len(list(same))
         if n:
             tokens.append((n, 0, 0))
             run -= 1
@@ -266,9 +307,11 @@ def write_prefix_code(bits: BitWriter, lengths: list[int]) -> None:
     bits.write((n - 2) // 2, 3)
     bits.write(len(tokens) - 2, n)
     codes = canonical_codes(code_lengths)
+    value = at = 0
     for s, extra, width in tokens:
-        bits.write(codes[s], code_lengths[s])
-        bits.write(extra, width)
+        value |= (codes[s] | extra << code_lengths[s]) << at
+        at += code_lengths[s] + width
+    bits.write(value, at)
 
 
 def prefixed(value: int) -> tuple[int, int, int]:
@@ -562,8 +605,8 @@ def _bundle_bits(colours: int) -> int:
 # Whole files
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The image in a file that holds one VP8L chunk."""
+def _opened(data: bytes) -> tuple[BitReader, int, int]:
+    """The stream of a file that holds one VP8L chunk, behind its header, and the image's width and height."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise ValueError("no lossless WebP")
     size = int.from_bytes(data[16:20], "little")
@@ -574,6 +617,12 @@ def decode(data: bytes) -> np.ndarray:
     bits.read(1)
     if bits.read(3):
         raise ValueError("bad version")
+    return bits, width, height
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The image in a file that holds one VP8L chunk."""
+    bits, width, height = _opened(data)
     todo, now, seen = [], width, set()
     while bits.read(1):
         kind = bits.read(2)
@@ -611,12 +660,162 @@ def decode(data: bytes) -> np.ndarray:
     return flat.reshape(height, width)
 
 
-def _file(bits: np.ndarray) -> bytes:
-    body = np.packbits(bits, bitorder="little").tobytes()
+def decode_greens(files: list[bytes]) -> list[np.ndarray]:
+    """The green channel of each file's image, as decode() gives it. Streams of grey images without transforms are decoded
+    side by side, but for the few that are much longer than others."""
+    lanes, out = [], [None] * len(files)
+    for k, data in enumerate(files):
+        bits, width, height = _opened(data)
+        if bits.read(1) or bits.read(1) or bits.read(1):  # a transform, a colour cache, meta codes
+            continue
+        green, red, blue, alpha, far = (read_lengths(bits, n) for n in (256 + LENGTH_CODES, 256, 256, 256, DISTANCE_CODES))
+        if sum(map(bool, green[0])) > 1 and red[1] is not None and blue[1] is not None and alpha[1] is not None and (far[1] or 0) < DISTANCE_CODES:
+            lanes.append((bits.end - bits.at, k, bits, width, height, green[0], far))
+    lanes.sort(key=lambda lane: (-lane[0], lane[1]))
+    if len(lanes) >= LEAST_LANES:
+        most = 2 * lanes[LEAST_LANES - 1][0]
+        lanes = [lane for lane in lanes if lane[0] <= most]
+        for (_, k, *_), green in zip(lanes, _side_by_side([lane[2:] for lane in lanes]), strict=True):
+            out[k] = green
+    return [(decode(data) >> np.uint32(8)).astype(np.uint8) if green is None else green for data, green in zip(files, out, strict=True)]
+
+
+def _lane_tables(codes: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of LANE_BITS bits for the codes of a green channel and of the distances, in turn, lane by lane, with the place
+    of each first table. An entry holds, from the lowest bit: 6 bits for how far it goes, 5 for how many of these are
+    extra bits, 2 for its kind (0 literal, 1 length, 2 distance, 3 a longer code), 9 for its symbol, and from bit 32 on
+    the place of the table that comes next."""
+    size, longest = 1 << LANE_BITS, 1 << MAX_CODE_LENGTH
+    n = np.frombuffer(b"".join(bytes(c) for c in codes), np.uint8).astype(np.int64)
+    of_code = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+    symbol = np.concatenate([np.arange(len(c)) for c in codes])
+    used = np.flatnonzero(n)
+    used = used[np.argsort(of_code[used] * 16 + n[used], kind="stable")]
+    n, of_code, symbol = n[used], of_code[used], symbol[used]
+    share = longest >> n
+    whole = np.bincount(of_code, share, len(codes))
+    single = np.bincount(of_code, minlength=len(codes)) == 1
+    if (whole[~single] != longest).any():
+        raise ValueError("not a complete prefix code")
+    share[single[of_code]] = longest
+    n[single[of_code]] = 0  # the only symbol takes no bits
+    code = _backwards(MAX_CODE_LENGTH)[(np.cumsum(share) - share) & (longest - 1)]
+    long = n > LANE_BITS
+    prefix = of_code[long] * size + (code[long] & (size - 1))
+    fresh = np.diff(prefix, prepend=-1) != 0  # codes with one beginning stand together
+    heads = prefix[fresh]
+    tables = np.bincount(heads // size, minlength=len(codes)) + 1
+    root = (np.cumsum(tables) - tables) * size
+    below = (np.arange(len(heads)) - np.searchsorted(heads // size, heads // size) + 1) * size + root[heads // size]
+    far = of_code & 1
+    extra = np.where(far > 0, _extra_bits(symbol), np.where(symbol >= 256, _extra_bits(symbol - 256), 0))
+    kind = np.where(far > 0, 2, (symbol >= 256).astype(np.int64))
+    then = root[of_code - far + (kind == 1)]
+    rest = np.where(long, n - LANE_BITS, n)
+    entry = (rest + extra) | extra << 6 | kind << 11 | symbol << 13 | then << 32
+    table = np.zeros(int(tables.sum()) * size, np.int64)
+    base = root[of_code]
+    base[long] = below[np.cumsum(fresh) - 1]
+    times = size >> rest
+    k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    table[np.repeat(base + np.where(long, code >> LANE_BITS, code), times) + (k << np.repeat(rest, times))] = np.repeat(entry, times)
+    table[root[heads // size] + heads % size] = LANE_BITS | 3 << 11 | below << 32
+    return table, root
+
+
+def _lane_codes(data: np.ndarray, pos: np.ndarray, end: np.ndarray, table: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries that the bits from pos to end of every lane lead to, lane by lane, and their number in each. What begins
+    up to the end is read, be it filling bits: a distance that takes no bits may stand at the very end."""
+    windows = ((data[:-1] | data[1:].astype(np.uint16) << 8)[:, None] >> np.arange(8, dtype=np.uint16)).astype(np.uint8).ravel()  # at each bit
+    steps, then = table & 63, table >> 32
+    lane, blocks, number = np.arange(len(pos)), [], np.zeros(len(pos), np.int64)
+    pos, place = pos.copy(), root.copy()
+    while len(lane):
+        got, begin = np.empty((LANE_STEPS, len(lane)), np.int64), pos.copy()
+        for entry in got:
+            np.add(windows.take(pos, mode="clip"), place, out=entry)
+            pos += steps.take(entry, mode="clip")
+            then.take(entry, out=place, mode="clip")
+        got = table[got.T]
+        step = got & 63
+        inside = begin[:, None] + np.cumsum(step, 1) - step <= end[:, None]
+        some = inside.sum(1)
+        blocks.append((lane, number[lane], some, got[inside]))
+        number[lane] += some
+        on = pos <= end
+        lane, pos, place, end = lane[on], pos[on], place[on], end[on]
+    out, first = np.empty(int(number.sum()), np.int64), np.cumsum(number) - number
+    for lane, before, some, got in blocks:
+        out[np.arange(len(got)) + np.repeat(first[lane] + before - (np.cumsum(some) - some), some)] = got
+    return out, number
+
+
+def _side_by_side(lanes: list[tuple]) -> list[np.ndarray]:
+    """The green channels of grey images: one look-up takes a step in every stream. lanes: stream behind its codes, width,
+    height, code lengths of the green channel, those of the distances or the only distance."""
+    streams = [bits.data for bits, *_ in lanes]
+    data = np.frombuffer(b"".join(streams) + bytes(4 * LANE_STEPS), np.uint8)
+    first = 8 * (np.cumsum([len(x) for x in streams]) - [len(x) for x in streams])
+    pos, end = first + [bits.at for bits, *_ in lanes], first + [bits.end for bits, *_ in lanes]
+    codes = []
+    for *_, green, (far, only) in lanes:
+        codes += [green, far if only is None else [int(s == only) for s in range(DISTANCE_CODES)]]
+    table, root = _lane_tables(codes)
+    got, number = _lane_codes(data, pos, end, table, root[::2])
+    lane, step = np.repeat(np.arange(len(lanes)), number), got & 63
+    at = np.cumsum(step) - step
+    at += np.repeat(pos - at[np.cumsum(number) - number], number)
+    part = (got >> 11 & 3) == 3
+    if part.any():
+        got, at, lane = got[~part], at[~part], lane[~part]
+    kind, extra, after = got >> 11 & 3, got >> 6 & 31, at + (got & 63)
+    refer = np.flatnonzero(kind[:-1] == 1)
+    refer = refer[(kind[refer + 1] == 2) & (lane[refer + 1] == lane[refer])]  # the filling bits may end in half a reference
+
+    def values(k: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        p = after[k] - extra[k]
+        word = sum(data[(p >> 3) + b].astype(np.int64) << 8 * b for b in range(4))
+        return _prefixed_values(symbols, (word >> (p & 7)) & ((1 << extra[k]) - 1))
+
+    pixels = (kind == 0).astype(np.int64)
+    pixels[refer] = values(refer, (got[refer] >> 13 & 511) - 256)
+    far = values(refer + 1, got[refer + 1] >> 13 & 511)
+    widths, of_width = np.unique([width for _, width, *_ in lanes], return_inverse=True)
+    near = np.stack([near_distances(int(width)) for width in widths])
+    far = np.where(far > len(NEAR), far - len(NEAR), near[of_width[lane[refer]], np.minimum(far, len(NEAR))])
+    after[refer] = after[refer + 1]
+    sizes = np.array([width * height for _, width, height, *_ in lanes])
+    number = np.bincount(lane, minlength=len(lanes))
+    ends = np.append(0, np.cumsum(pixels))
+    begin = ends[:-1] - np.repeat(ends[:-1][np.cumsum(number) - number], number)  # in the own image
+    keep = (begin < sizes[lane]) & (pixels > 0)  # what follows is no code any more
+    taken = np.bincount(lane[keep], pixels[keep], len(lanes))
+    if (taken < sizes).any() or (after[keep] > end[lane[keep]]).any():
+        raise ValueError("the stream ends too soon")
+    inside = keep[refer]
+    refer, far = refer[inside], far[inside]
+    if (taken > sizes).any() or (far > begin[refer]).any():
+        raise ValueError("a reference leaves the image")
+    start = np.cumsum(sizes) - sizes
+    place = begin + start[lane]
+    out = bytearray(int(sizes.sum()))
+    literal = np.flatnonzero(keep & (kind == 0))
+    np.frombuffer(out, np.uint8)[place[literal]] = got[literal] >> 13 & 255
+    for p, n, d in zip(place[refer].tolist(), pixels[refer].tolist(), far.tolist(), strict=True):
+        out[p : p + n] = out[p - d : p - d + n] if d >= n else (out[p - d : p] * (n // d + 1))[:n]
+    green = np.frombuffer(bytes(out), np.uint8)
+    return [green[a : a + size].reshape(height, width) for a, size, (_, width, height, *_) in zip(start.tolist(), sizes.tolist(), lanes, strict=True)]
+
+
+def _container(body: bytes) -> bytes:
     padded = body + bytes(len(body) & 1)
     return b"RIFF" + (12 + len(padded)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + padded
 
 
+def _file(bits: np.ndarray) -> bytes:
+    return _container(np.packbits(bits, bitorder="little").tobytes())
+
+
 def _head(width: int, height: int, alpha: bool) -> BitWriter:
     if not (0 < width <= MAX_SIDE and 0 < height <= MAX_SIDE):
         raise ValueError("bad size")
@@ -626,7 +825,7 @@ def _head(width: int, height: int, alpha: bool) -> BitWriter:
     return bits
 
 
-def references(data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def references(data: np.ndarray, doc: np.ndarray) -> References:
     """Back-references (start, length, distance) for arrays of bytes one after the other, doc telling which a byte is of.
 
     Every place is looked up in a sorted list of all strings of LEAST_REFERENCE bytes for the place before it that has
@@ -642,16 +841,15 @@ def references(data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate([found[k] + (at if k == 0 else 0) for at, found in blocks]) for k in range(3))
 
 
-def _block_references(data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block_references(data: np.ndarray, doc: np.ndarray) -> References:
     n = len(data) - LEAST_REFERENCE + 1
     if n < 2:
         return tuple(np.zeros(0, np.int64) for _ in range(3))
-    key = np.zeros(n, np.uint64)
-    for k in range(LEAST_REFERENCE):
-        key |= data[k : n + k].astype(np.uint64) << np.uint64(8 * k)
+    key, whole = np.empty(n, np.uint64), data.tobytes()
+    for k in range(min(LEAST_REFERENCE, n)):
+        key[k::LEAST_REFERENCE] = np.frombuffer(whole, "<u8", (n - k + LEAST_REFERENCE - 1) // LEAST_REFERENCE, k)
     mixed = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-    order = np.argsort((mixed & np.uint64(0xFFFF)).astype(np.uint16), kind="stable")
-    order = order[np.argsort((mixed >> np.uint64(16)).astype(np.uint16)[order], kind="stable")]
+    order = (np.sort(mixed << np.uint64(32) | np.arange(n, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     sorted_keys, own = key[order], doc[order]
     same = np.flatnonzero((sorted_keys[1:] == sorted_keys[:-1]) & (own[1:] == own[:-1]))
     far = np.zeros(n, np.int64)
@@ -681,10 +879,11 @@ def _block_references(data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np
     return out[0][at], out[1][at], out[2][at]
 
 
-def _entropy_bits(counts: np.ndarray) -> float:
-    some = counts[counts > 0]
-    total = some.sum()
-    return float((some * np.log2(total / some)).sum()) if len(some) > 1 else 0.0
+def _entropy_bits(counts: np.ndarray) -> np.ndarray:
+    """Bits that an ideal code takes for the symbols of each row."""
+    n = counts.astype(np.float64)
+    total = n.sum(-1, keepdims=True)
+    return (n * np.log2(np.divide(total, n, out=np.ones_like(n), where=n > 0))).sum(-1)
 
 
 def _symbols_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -695,70 +894,96 @@ def _symbols_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.where(v < 4, v, 2 * high + ((v >> np.maximum(high - 1, 0)) & 1)), np.where(v < 4, 0, v & ((1 << np.maximum(n, 0)) - 1)), n
 
 
-def _write_grey(bits: BitWriter, flat: np.ndarray, width: int, found: tuple[np.ndarray, np.ndarray, np.ndarray], alpha: int) -> tuple[np.ndarray, bool]:
-    """All bits of a stream that goes on with these samples as the green channel, with the references where they shorten
-    it; and whether they do."""
-    plain = np.bincount(flat, minlength=256)
-    worth = found[1] * (_entropy_bits(plain) / len(flat)) >= REFERENCE_BITS
-    start, length, far = (x[worth] for x in found)
-    use = len(start) > 0
-    if use:
-        near = np.zeros(int(max(far.max(), near_distances(width).max())) + 1, np.int64)
-        near[near_distances(width)[:0:-1]] = np.arange(len(NEAR), 0, -1)
-        code = np.where(near[far] > 0, near[far], far + len(NEAR))
-        s1, e1, n1 = _symbols_of(length)
-        s2, e2, n2 = _symbols_of(code)
-        edge = np.zeros(len(flat) + 1, np.int64)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + length, -1)
-        literal = np.cumsum(edge[:-1]) == 0
-        counts = np.bincount(flat[literal], minlength=256 + LENGTH_CODES) + np.bincount(256 + s1, minlength=256 + LENGTH_CODES)
-        distances = np.bincount(s2, minlength=DISTANCE_CODES)
-        use = _entropy_bits(counts) + _entropy_bits(distances) + int(n1.sum() + n2.sum()) + CODE_BITS < _entropy_bits(plain)
-    if not use:
-        counts, distances = plain, np.zeros(DISTANCE_CODES, np.int64)
-    bits.write(0, 1)  # no colour cache
-    bits.write(0, 1)  # no meta codes
-    lengths = limited_lengths(counts.tolist()) + [0] * (256 + LENGTH_CODES - len(counts))
-    if sum(map(bool, lengths)) == 1 and lengths.index(1) >= 256:
-        lengths[0] = 1
-    far_lengths = limited_lengths(distances.tolist())
-    write_prefix_code(bits, lengths)
-    for only in (0, 0, alpha):
-        write_single_code(bits, only)
-    write_prefix_code(bits, far_lengths)
-    codes, sizes = _code_table(lengths)
-    if use:
-        far_codes, far_sizes = _code_table(far_lengths)
-        token = literal.copy()
-        token[start] = True
-        at = np.flatnonzero(token)
-        value, n = codes[flat[at]], sizes[flat[at]]
-        place = np.searchsorted(at, start)
-        v, k = codes[256 + s1], sizes[256 + s1]
-        for more, width_of in ((e1.astype(np.uint64), n1), (far_codes[s2], far_sizes[s2]), (e2.astype(np.uint64), n2)):
-            v = v | more << k.astype(np.uint64)
-            k = k + width_of
-        value[place], n[place] = v, k
-    else:
-        value, n = codes[flat], sizes[flat]
-    parts = [bits.bits()]
-    for at in range(0, len(value), 1 << 18):
-        some, width_of = value[at : at + (1 << 18)], n[at : at + (1 << 18)]
-        ends = np.cumsum(width_of)
-        shift = np.arange(ends[-1]) - np.repeat(ends - width_of, width_of)
-        parts.append(((np.repeat(some, width_of) >> shift.astype(np.uint64)) & np.uint64(1)).astype(np.uint8))
-    return np.concatenate(parts), bool(use)
-
-
-def _code_table(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and their sizes by symbol; a single symbol takes no bits."""
-    codes, sizes = np.zeros(len(lengths), np.uint64), np.array(lengths, np.int64)
-    if (sizes > 0).sum() <= 1:
-        return codes, np.zeros(len(lengths), np.int64)
-    symbols, found, _ = code_arrays(lengths)
-    codes[symbols] = found
-    return codes, sizes
+def _write_greys(heads: list[BitWriter], flat: np.ndarray, sizes: np.ndarray, width: int, found: References, alpha: int) -> list[tuple[bytes, bool]]:
+    """Files that go on after these heads with samples as the green channel, so many each of flat, with the references
+    where they shorten a file; and whether they do. All arrays are those of all images, one after the other; what a file
+    holds depends on its own samples only."""
+    images, n_green = len(sizes), 256 + LENGTH_CODES
+    image = np.repeat(np.arange(images), sizes)
+    plain = np.bincount(image * 256 + flat, minlength=images * 256).reshape(images, 256)
+    plain_bits = _entropy_bits(plain)
+    of = image[found[0]]
+    worth = found[1] * (plain_bits / sizes)[of] >= REFERENCE_BITS
+    start, length, far, of = (x[worth] for x in (*found, of))
+    near = np.zeros(int(near_distances(width).max()) + 2, np.int64)  # the last place is for all that are farther
+    near[near_distances(width)[:0:-1]] = np.arange(len(NEAR), 0, -1)
+    code = near[np.minimum(far, len(near) - 1)]
+    code = np.where(code > 0, code, far + len(NEAR))
+    s1, e1, n1 = _symbols_of(length)
+    s2, e2, n2 = _symbols_of(code)
+
+    def literals() -> np.ndarray:
+        edge = np.zeros(len(flat) + 1, np.int8)
+        edge[start] = 1
+        edge[start + length] -= 1
+        return np.cumsum(edge[:-1], dtype=np.int8) == 0
+
+    literal = literals()
+    counts = np.bincount(image[literal] * n_green + flat[literal], minlength=images * n_green) + np.bincount(of * n_green + 256 + s1, minlength=images * n_green)
+    counts, distances = counts.reshape(images, n_green), np.bincount(of * DISTANCE_CODES + s2, minlength=images * DISTANCE_CODES).reshape(images, DISTANCE_CODES)
+    extra = np.bincount(of, n1 + n2, images)
+    use = (np.bincount(of, minlength=images) > 0) & (_entropy_bits(counts) + _entropy_bits(distances) + extra + CODE_BITS < plain_bits)
+    if not use.all():
+        counts[~use] = np.pad(plain[~use], ((0, 0), (0, LENGTH_CODES)))
+        distances[~use] = 0
+        start, length, of, s1, e1, n1, s2, e2, n2 = (x[use[of]] for x in (start, length, of, s1, e1, n1, s2, e2, n2))
+        literal = literals()
+    all_lengths, all_far_lengths = [], []
+    for bits, green, far_counts in zip(heads, counts.tolist(), distances.tolist(), strict=True):
+        bits.write(0, 2)  # no colour cache, no meta codes
+        lengths = limited_lengths(green)
+        if sum(map(bool, lengths)) == 1 and lengths.index(1) >= 256:
+            lengths[0] = 1
+        far_lengths = limited_lengths(far_counts)
+        write_prefix_code(bits, lengths)
+        for only in (0, 0, alpha):
+            write_single_code(bits, only)
+        write_prefix_code(bits, far_lengths)
+        all_lengths.append(bytes(lengths))
+        all_far_lengths.append(bytes(far_lengths))
+    codes, widths = _code_tables(b"".join(all_lengths), images)
+    far_codes, far_widths = _code_tables(b"".join(all_far_lengths), images)
+    literal[start] = True
+    at = np.flatnonzero(literal)
+    image = image[at]
+    symbol = image * n_green + flat[at]
+    value, n = codes[symbol], widths[symbol]
+    symbol, far_symbol, place = of * n_green + 256 + s1, of * DISTANCE_CODES + s2, np.searchsorted(at, start)
+    v, k = codes[symbol], widths[symbol]
+    for more, width_of in ((e1.astype(np.uint64), n1), (far_codes[far_symbol], far_widths[far_symbol]), (e2.astype(np.uint64), n2)):
+        v = v | more << k.astype(np.uint64)
+        k = k + width_of
+    value[place], n[place] = v, k
+    # every file starts at a byte; a token of at most 58 bits lies in one or two words of 64
+    ends, last = np.cumsum(n), np.cumsum(np.bincount(image, minlength=images)) - 1
+    so_far = np.append(0, ends[last])
+    head = np.array([len(bits) for bits in heads])
+    files = np.append(0, np.cumsum((head + np.diff(so_far) + 7) >> 3))
+    first = ends - n + (8 * files[:-1] + head - so_far[:-1])[image]
+    word, shift = first >> 6, (first & 63).astype(np.uint64)
+    new = np.flatnonzero(np.diff(word, prepend=-1))
+    words = np.zeros((int(files[-1]) >> 3) + 2, np.uint64)
+    words[word[new]] = np.bitwise_or.reduceat(value << shift, new)
+    over = np.append(new[1:], len(word)) - 1
+    words[word[over] + 1] |= (value[over] >> np.uint64(1)) >> (np.uint64(63) - shift[over])
+    body, out = words.astype("<u8").tobytes(), []
+    for bits, a, b, refers in zip(heads, files[:-1].tolist(), files[1:].tolist(), use.tolist(), strict=True):
+        front, whole = bits.bytes(), len(bits) >> 3
+        if len(bits) & 7 and a + whole < b:
+            front = front[:whole] + bytes([front[whole] | body[a + whole]])
+        out.append((_container(front + body[a + len(front) : b]), refers))
+    return out
+
+
+def _code_tables(lengths: bytes, images: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and their sizes by image and symbol, in one row; a single symbol takes no bits."""
+    n = np.frombuffer(lengths, np.uint8).reshape(images, -1)
+    n = np.where((n > 0).sum(1, keepdims=True) > 1, n, 0).astype(np.int64).ravel()
+    codes, used = np.zeros(len(n), np.uint64), np.flatnonzero(n)
+    used = used[np.argsort(used // (len(n) // images) * 16 + n[used], kind="stable")]
+    share = 1 << (MAX_CODE_LENGTH - n[used])  # those of an image make up a whole, so one sum serves all
+    codes[used] = _backwards(MAX_CODE_LENGTH)[(np.cumsum(share) - share) & ((1 << MAX_CODE_LENGTH) - 1)]
+    return codes, n
 
 
 def _differences(samples: np.ndarray, mode: int) -> np.ndarray:
@@ -773,7 +998,7 @@ def _differences(samples: np.ndarray, mode: int) -> np.ndarray:
     return out
 
 
-def encode_grey(samples: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[bytes, list[str]]:
+def encode_grey(samples: np.ndarray, found: References | None = None) -> tuple[bytes, list[str]]:
     """height x width 8-bit samples as the green channel of opaque pixels, and which features the file uses.
 
     found: what references() gives for the samples. Of the plain samples, a palette of at most 16 values with bundled
@@ -813,8 +1038,33 @@ def encode_grey(samples: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.nda
     bits.write(0, 1)  # no more transforms
     if found is None:
         found = references(flat, np.zeros(len(flat), np.int8))
-    stream, refers = _write_grey(bits, flat, width, found, 0 if "predictor" in used else 255)
-    return _file(stream), used + ["references"] * refers
+    data, refers = _write_greys([bits], flat, np.array([len(flat)]), width, found, 0 if "predictor" in used else 255)[0]
+    return data, used + ["references"] * refers
+
+
+def encode_greys(data: np.ndarray, sizes: np.ndarray, width: int) -> list[tuple[bytes, list[str]]]:
+    """encode_grey() of images that lie one after the other, so many samples each in rows of width: those that need
+    neither a palette nor a predictor are written together."""
+    ends = np.cumsum(sizes)
+    image = np.repeat(np.arange(len(sizes)), sizes)
+    found = references(data, image)
+    counts = np.bincount(image * 256 + data, minlength=256 * len(sizes)).reshape(-1, 256)
+    own = (((counts > 0).sum(1) <= 16) & (sizes > 64)) | (_entropy_bits(counts) - CODE_BITS > ROUGH_BITS * sizes)
+    out: list = [None] * len(sizes)
+    for k in np.flatnonzero(own).tolist():
+        a, b = int(ends[k] - sizes[k]), int(ends[k])
+        cut = slice(*np.searchsorted(found[0], [a, b]))
+        out[k] = encode_grey(data[a:b].reshape(-1, width), (found[0][cut] - a, found[1][cut], found[2][cut]))
+    if len(rest := np.flatnonzero(~own)):
+        keep, of = ~own[image], ~own[image[found[0]]]
+        moved = np.cumsum(keep) - 1
+        heads = [_head(width, int(size) // width, False) for size in sizes[rest]]
+        for bits in heads:
+            bits.write(0, 1)  # no transforms
+        made = _write_greys(heads, data[keep], sizes[rest], width, (moved[found[0][of]], found[1][of], found[2][of]), 255)
+        for k, (media, refers) in zip(rest.tolist(), made, strict=True):
+            out[k] = media, ["references"] * refers
+    return out
 
 
 def encode(
