@@ -3,13 +3,15 @@ extra columns with clashing names."""
 
 import collections
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import cases
-from veldt.llm import jaccard, media, mixing, packing, quality_rules, sharding, suffix_dedup, tokens
+from veldt.llm import common, jaccard, media, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, tokens, words
 from veldt.llm.common import importable
 from veldt.llm import line_dedup as module
 from veldt.llm.line_dedup import line_dedup
@@ -421,6 +423,42 @@ def test_jaccard_chain_and_empty(spark):
     assert jaccard.jaccard_components(cases.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("step", ["first", "prefix", "set", "score"])
+def test_word_steps_take_little_memory(monkeypatch, step):
+    """6 MB of documents in one batch: what a Python worker needs beside the batch is bounded by the slice, not by the batch."""
+    monkeypatch.setattr(words, "_powers", {"n": 0, "r": np.ones(1, np.uint64), "inverse": np.ones(1, np.uint64)})
+    texts = [cases.prose(n, 300) for n in range(20)] * (6_000_000 // len("".join(cases.prose(n, 300) for n in range(20))))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string()), pa.array(range(len(texts)), pa.int64())], names=["t", "id"])
+    order = type("Order", (), {"value": np.zeros(1 << jaccard.ORDER_BITS, np.int64)})
+    style = len(quality_classifier.STYLE)
+    model = {"buckets": np.arange(9), "mean": np.zeros(style), "scale": np.ones(style), "bad": np.zeros(style + 10), "toxic": np.zeros(style + 10)}
+    run = {"first": lambda: jaccard._first_pass(4, 0), "prefix": lambda: jaccard._prefix_pass(4, 0, 85, order), "set": lambda: jaccard._set_pass(4, 0), "score": lambda: quality_classifier._scorer(model, ["id"], ["a", "b"])}[step]()
+    tracemalloc.start()
+    try:
+        for _ in run(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 30_000_000
+
+
+def test_batches_for_workers_are_bounded(spark):
+    """30 MB in one task reach Python in pieces; a bound that the session has stays, and no bound is left behind."""
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["size", "n"]) for b in batches)
+    measured = lambda: common.materialize(spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 10000) AS t").mapInArrow(sizes, "size long, n long")).collect()
+    got = measured()
+    assert sum(r["n"] for r in got) == 3000
+    assert max(r["size"] for r in got) < 2 * common.BATCH_BYTES
+    assert spark.conf.get(common.BATCH_SETTING, None) is None
+    spark.conf.set(common.BATCH_SETTING, 100_000)
+    try:
+        assert max(r["size"] for r in measured()) < 200_000
+        assert spark.conf.get(common.BATCH_SETTING, None) == "100000"
+    finally:
+        spark.conf.unset(common.BATCH_SETTING)
+
+
 @pytest.mark.parametrize("block,cells", [(1 << 16, 1 << 23), (300, 1000)])
 def test_jaccard_counts_every_link(spark, monkeypatch, block, cells):
     """Near copies with different texts, exact copies of some, a chain that is no clique, and a pair."""

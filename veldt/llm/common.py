@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Text bytes that one vectorised step works on.
 SLICE_BYTES = 1 << 21
+#: The same for steps that hash every byte or word, which take about 50 bytes of memory for each.
+WORD_SLICE_BYTES = 1 << 18
+#: Bytes of rows that are brought to a Python worker at once. Spark's own bound, 10,000 rows, is 20 MB of usual documents.
+BATCH_BYTES, BATCH_SETTING = 1 << 22, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,11 +44,25 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [env.get("PYTHONPATH")])])
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile batches for Python workers hold BATCH_BYTES at most, and one row at least; a session's own bound stays."""
+    if spark.conf.get(BATCH_SETTING, None) is not None:
+        yield
+        return
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/veldt-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with bounded_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._veldt_path = path
     return out

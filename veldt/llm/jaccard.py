@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt.llm import words as W
-from veldt.llm.common import discard, id_key, materialize, small, text_slices
+from veldt.llm.common import WORD_SLICE_BYTES, discard, id_key, materialize, small, text_slices
 
 #: Shingle counts are summed in 2 to this power buckets; what is sent to the executors has this size for any input.
 ORDER_BITS = 18
@@ -58,7 +58,7 @@ def _first_pass(k: int, seed: int):
         counts = np.zeros(1 << ORDER_BITS, np.int64)
         for batch in batches:
             ids = batch.column(1)
-            for at, end, data, offsets in text_slices(batch, 0):
+            for at, end, data, offsets in text_slices(batch, 0, WORD_SLICE_BYTES):
                 rows, seen = [], []
                 for shingles in _sets(data, offsets, k):
                     seen.append(shingles >> np.uint64(64 - ORDER_BITS))
@@ -92,7 +92,7 @@ def _prefix_pass(k: int, seed: int, percent: int, order):
         done: set[int] = set()
         for batch in batches:
             ids = batch.column(1).to_pylist()
-            for at, _, data, offsets in text_slices(batch, 0):
+            for at, _, data, offsets in text_slices(batch, 0, WORD_SLICE_BYTES):
                 rows = []
                 for i, shingles in enumerate(_sets(data, offsets, k)):
                     if not len(shingles) or (d1 := _digest(shingles, seed)[0]) in done:
@@ -114,7 +114,7 @@ def _prefix_pass(k: int, seed: int, percent: int, order):
 def _set_pass(k: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch, 0):
+            for _, _, data, offsets in text_slices(batch, 0, WORD_SLICE_BYTES):
                 sets = list(_sets(data, offsets, k))
                 c = pa.array([_digest(s, seed)[0] for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([c, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["c", "shingles"])

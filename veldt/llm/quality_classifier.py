@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt.llm import words as W
-from veldt.llm.common import discard, fresh, materialize, small, text_slices
+from veldt.llm.common import WORD_SLICE_BYTES, discard, fresh, materialize, small, text_slices
 from veldt.llm.quality_rules import _IS_SYMBOL, _repeated_words, _sums
 
 #: The fit reads at most about so many labelled documents; features that each of the two models may have.
@@ -71,7 +71,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, end, data, offsets in text_slices(batch, 0):
+        for at, end, data, offsets in text_slices(batch, 0, WORD_SLICE_BYTES):
             docs, buckets, style = _features(data, offsets)
             pairs = np.unique(docs.astype(np.int64) << FEATURE_BITS | buckets)
             cuts = np.searchsorted(pairs >> FEATURE_BITS, np.arange(end - at + 1))
@@ -147,7 +147,7 @@ def _scorer(model: dict[str, np.ndarray], others: list[str], names: list[str]):
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, data, offsets in text_slices(batch, 0):
+            for at, end, data, offsets in text_slices(batch, 0, WORD_SLICE_BYTES):
                 docs, found, style = _features(data, offsets)
                 style = (style - model["mean"]) / model["scale"]
                 logits = []
