@@ -6,10 +6,12 @@ import random
 import pytest
 
 from veldt.functions import dates as D
+from veldt.plans import binder
 from veldt.plans.lexer import DialectError, statements
 from veldt.plans.parser import parse
 from veldt.session import Engine
 from veldt.sources import files
+from veldt.sources.snapshots import snapshot
 
 PLANETS = """pos,planet,moons,kind
 1,Mercury,0,rock
@@ -235,6 +237,20 @@ def test_sequence_beyond_ten_million(engine):
     assert "Range (0, 12000002, step=1" in plan, plan
 
 
+def test_large_limits_of_an_order(engine, monkeypatch):
+    """They are cut by row number: Spark's own limit of a sort holds all its rows in one task's memory."""
+    plans = []
+    monkeypatch.setattr(binder, "WINDOW_ROWS", 1000)
+    monkeypatch.setattr(binder, "snapshot", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or snapshot(df))
+    source = "FROM SEQUENCE WHERE value < 3000 ORDER BY value DESC"
+    assert rows(engine, f"{source} LIMIT 200000000 SELECT ROW_NUMBER() AS r, value") == [(k + 1, 2999 - k) for k in range(3000)]
+    assert rows(engine, f"{source} LIMIT 3000000000 SELECT value") == [(2999 - k,) for k in range(3000)]
+    assert rows(engine, f"{source} OFFSET 1200 LIMIT 3 SELECT value, ROW_NUMBER() AS r") == [(1799, 1), (1798, 2), (1797, 3)]
+    assert rows(engine, f"{source} OFFSET 3 LIMIT 1100 SELECT value") == [(2996 - k,) for k in range(1100)]
+    assert len(plans) == 4 and not any("TakeOrdered" in p or "Limit" in p for p in plans), plans
+    assert rows(engine, f"{source} OFFSET 3 LIMIT 2 SELECT ROW_NUMBER() AS r, value") == [(1, 2996), (2, 2995)] and len(plans) == 4
+
+
 @pytest.mark.parametrize("text", ["SELECT", "FROM", "SELECT 4 *", "FROM planets WHERE", "FROM pluto", "FROM planets SELECT rings", "SELECT G(1)", "SELECT LENGTH('a', 'b')", "FROM planets LIMIT many", "SELECT 'not closed"])
 def test_errors(engine, text):
     with pytest.raises(DialectError):

@@ -23,7 +23,7 @@ from veldt.sources import generated
 from veldt.sources.relation import Relation, numbered
 from veldt.sources.snapshots import snapshot
 
-#: Output rows of a LIMIT that one task numbers.
+#: Output rows of a LIMIT, with those its OFFSET skips, that one task may hold and number.
 WINDOW_ROWS = 100_000
 
 
@@ -431,12 +431,17 @@ class Binder:
         keys_out = [c for k, (v, down) in enumerate(sort_values) for c in V.order_columns(replace(v, column=F.col(f"o{k}")), down)]
         if keys_out:
             df = df.orderBy(*keys_out)
-        if q.offset:
-            df = df.offset(q.offset)
-        if q.limit is not None:
-            df = df.limit(q.limit)
+        few = q.limit is not None and q.offset + q.limit <= WINDOW_ROWS
+        if keys_out and q.limit is not None and not few:
+            df = self._cut(self._row_numbers(df, keys_out, few), q.offset, q.limit)
+        else:
+            if q.offset:
+                df = df.offset(q.offset)
+            if q.limit is not None:
+                df = df.limit(q.limit)
+            if any(late):
+                df = self._row_numbers(df, keys_out, few)
         if any(late):
-            df = self._row_numbers(df, keys_out, q.limit)
             numbers = {k: self._shown(self.value(n, {})) for k, (_, n) in enumerate(items) if late[k]}
             shown = [numbers.get(k, v) for k, v in enumerate(shown)]
             df = df.select(*[numbers[k].column.alias(f"c{k}") if k in numbers else F.col(f"c{k}") for k in range(len(items))])
@@ -445,15 +450,22 @@ class Binder:
         return Bound(df, tuple(n for n, _ in items), tuple(v.kind for v in shown), bool(keys_out))
 
     @staticmethod
-    def _row_numbers(df: DataFrame, keys: list[Column], limit: int | None) -> DataFrame:
+    def _row_numbers(df: DataFrame, keys: list[Column], few: bool) -> DataFrame:
         """1-based numbers of output rows. A small limit leaves few rows for one task; others are written as they stand and
         numbered by file, so that no row moves and a lost executor changes nothing."""
-        if limit is not None and limit <= WINDOW_ROWS:
+        if few:
             order = keys or [F.monotonically_increasing_id()]
             return df.withColumn("row_number", F.row_number().over(Window.orderBy(*order)).cast("long"))
         names = df.columns
         return numbered(snapshot(df).toDF(*names), "row_number").withColumn("row_number", F.col("row_number") + 1)
 
+    @staticmethod
+    def _cut(df: DataFrame, offset: int, limit: int) -> DataFrame:
+        """The rows of a large OFFSET and LIMIT by their numbers, in order: Spark's own limit of a sort would hold so many
+        rows in the memory of each task."""
+        kept = df.where(F.col("row_number").between(offset + 1, offset + limit))
+        return kept.withColumn("row_number", F.col("row_number") - offset).orderBy("row_number")
+
     @staticmethod
     def _shown(v: Value) -> Value:
         if v.kind == "bool":
