@@ -98,6 +98,7 @@ CASES = {
     "arithmetic": ("SELECT 17 / 5, 17 % 5, 2 + 3 * 4, (2 + 3) * 4, POW(3, 4), 9 / 0, 9 % 0", one(3, 2, 14, 20, 81, None, None)),
     "signs": ("SELECT -17 / 5, -17 % 5, POW(2, -3), 7 - 10", one(-3, -2, 0, -3)),
     "powers": ("SELECT POW(1, 900000000), POW(2, 62), POW(2, 63), POW(-1, 5), POW(0, 3), POW(9, 0)", one(1, 2**62, None, -1, 0, 1)),
+    "chr_of_no_code_point": ("SELECT CHR(-1), CHR(1114112), CHR(4294967296), CHR(1114111), CHR(65279), HEX(CHR(0)), CHR(NULL)", one("", "", "", "\U0010ffff", "\ufeff", "00", None)),
     "text": ("SELECT LENGTH('Zürich'), CODEPOINT('Ω'), HEX('ñ'), TO_HEX(255), TO_HEX(-9), CHR(937), 'a' || NULL", one(7, 937, "C3B1", "0xff", "-0x09", "Ω", "a")),
     "bytes": ("SELECT LEFT('planet', 4), RIGHT('planet', 3), HEX(LEFT('Zürich', 2)), HEX(RIGHT('大阪', 2))", one("plan", "net", "5AC3", "98AA")),
     "w1252": ("SELECT W1252('naÃ¯ve'), W1252('plain')", one("naïve", "plain")),

@@ -45,3 +45,13 @@ def test_against_duckdb(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(Q.OTHER_QUERIES))
 def test_other_queries_have_rows(spark, name):
     assert Q.queries()[name](spark, SF).count() > 0
+
+
+def test_codepoint_of_odd_texts(spark, tmp_path):
+    """Texts that are null, empty, or begin with the character 0, a byte order mark or a character of any length."""
+    odd = [None, "", "\0", "\0a", " ", "\r\na", "\ufeff", "\ufeffa", "\ufffe", "\ufeff\ufeff", "\x7f", "\x80", "\u07ff", "\u0800", "e\u0301", "\u0301e", "\ud7ff", "\ue000", "\uffff", "\U00010000", "\U0010ffff", "\U0001f468\u200d\U0001f469"]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = Q.queries()["fn_codepoint"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == con.sql(Q.oracle_sql()["fn_codepoint"] + " ORDER BY doc_id").fetchall()

@@ -37,7 +37,16 @@ def _right(v: Value, n: Value) -> Value:
 
 
 def _chr(n: Value) -> Value:
-    return Value(F.decode(F.unhex(F.lpad(F.hex(V.int_column(n)), 8, "0")), "UTF-32"), "string")
+    """Empty for a number that is no code point. A byte order mark goes before, since the decoder drops one that leads."""
+    x = V.int_column(n)
+    code = F.lpad(F.hex(F.when(x.between(0, 0x10FFFF), x)), 8, "0")
+    char = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), code)), "UTF-32")
+    return Value(F.coalesce(char, F.when(x.isNotNull(), F.lit(""))), "string")
+
+
+def _codepoint(x: Column) -> Column:
+    """-1 for the empty text, which a text that begins with the character 0 is not."""
+    return F.when(x == "", F.lit(-1)).otherwise(F.ascii(x)).cast("long")
 
 
 def _to_hex(n: Value) -> Value:
@@ -138,7 +147,7 @@ SCALARS: dict[str, Callable[..., Value]] = {
     "POW": _pow,
     "RANDOM": lambda: Value(F.floor(F.rand() * 2147483647).cast("long"), "int"),
     "CHR": _chr,
-    "CODEPOINT": _chars(lambda x: F.ascii(x).cast("long"), "int"),
+    "CODEPOINT": _chars(_codepoint, "int"),
     "TO_HEX": _to_hex,
     "HEX": _chars(lambda x: F.hex(x.cast("binary")), "string"),
     "W1252": _w1252,
