@@ -252,6 +252,21 @@ def test_large_limits_of_an_order(engine, monkeypatch):
     assert rows(engine, f"{source} OFFSET 3 LIMIT 2 SELECT ROW_NUMBER() AS r, value") == [(1, 2996), (2, 2995)] and len(plans) == 4
 
 
+def test_row_ids_of_ordered_sub_queries(spark, tmp_path, monkeypatch):
+    """They follow the order, whether all rows are asked for, a large limit or the rows of a numbered query."""
+    spark.range(20_000).selectExpr("hash(id) AS v").coalesce(1).write.parquet(f"{tmp_path}/mixed.parquet")
+    monkeypatch.setattr(binder, "WINDOW_ROWS", 1000)
+    engine = Engine(spark, str(tmp_path))
+    want = sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/mixed.parquet").collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small results in several partitions
+    try:
+        for limit, shown in (("", "v"), ("LIMIT 15000", "v"), ("LIMIT 15000", "v, ROW_NUMBER() AS r")):
+            got = rows(engine, f"FROM (FROM mixed.parquet ORDER BY v {limit} SELECT {shown}) AS s SELECT rowid, v")
+            assert got == list(enumerate(want[: 15_000 if limit else None]))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("text", ["SELECT", "FROM", "SELECT 4 *", "FROM planets WHERE", "FROM pluto", "FROM planets SELECT rings", "SELECT G(1)", "SELECT LENGTH('a', 'b')", "FROM planets LIMIT many", "SELECT 'not closed"])
 def test_errors(engine, text):
     with pytest.raises(DialectError):

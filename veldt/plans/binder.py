@@ -55,7 +55,7 @@ class Bound:
 
     @property
     def relation(self) -> Relation:
-        return Relation(self.df, self.names, self.kinds)
+        return Relation(self.df, self.names, self.kinds, ordered=self.ordered)
 
 
 def _has(node, *names: str) -> bool:
@@ -242,8 +242,8 @@ class Binder:
                 names = [f"t{i}_{j}" for j in range(len(relation.names))]
                 side = relation.df.toDF(*names, *[f"t{i}_rowid"] * bool(relation.rowid))
                 if i in self.rowids and not relation.rowid:
-                    side = numbered(side, f"t{i}_rowid")
-                if relation.in_order and df is None:  # Spark leaves the sort out where a join, grouping or order follows
+                    side = numbered(side, f"t{i}_rowid", relation.ordered)
+                if (relation.in_order or relation.ordered and i in self.rowids) and df is None:  # Spark leaves the sort out where a join, grouping or order follows
                     place = [f"t{i}_rowid"] if i in self.rowids else ["_metadata.file_path", "_metadata.row_index"]
                     side = side.orderBy(*map(F.col, place))
             if df is None:

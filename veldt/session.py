@@ -256,7 +256,7 @@ class Engine:
         if missing := [c for c in node.columns if c not in relation.names]:
             raise DialectError(f"no column {missing[0]}")
         keys = [F.col(f"k{relation.names.index(c)}") for c in node.columns]
-        df = numbered(relation.df.toDF(*[f"k{i}" for i in range(len(relation.names))]), "rowid")
+        df = numbered(relation.df.toDF(*[f"k{i}" for i in range(len(relation.names))]), "rowid", relation.ordered)
         if node.kind == "unique" and not df.groupBy(*keys).count().where("count > 1").isEmpty():
             raise DialectError(f"{', '.join(node.columns)} is not unique")
         kind = "unique" if node.kind == "unique" else "index"

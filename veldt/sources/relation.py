@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldt.functions.values import kind_of
+from veldt.sources.snapshots import snapshot
 
 
 @dataclass(frozen=True)
@@ -17,7 +18,8 @@ class Relation:
 
     generated: calendar or sequence for tables that are made from bounds; then there is no DataFrame yet. rowid: the
     DataFrame's last column, if that holds the row numbers of the table it is a copy of. in_order: queries get the rows by
-    file name and place in the file, for tables whose files Spark would read the largest first.
+    file name and place in the file, for tables whose files Spark would read the largest first. ordered: a sub-query's
+    rows, in the order of a sort, which deals them out to tasks anew each time it runs.
     """
 
     df: DataFrame | None
@@ -26,19 +28,23 @@ class Relation:
     generated: str | None = None
     rowid: str | None = None
     in_order: bool = False
+    ordered: bool = False
 
 
 def relation_of(df: DataFrame, names: tuple[str, ...] | None = None, kinds: tuple[str, ...] | None = None, text: bool = False) -> Relation:
     return Relation(df, tuple(names or df.columns), tuple(kinds or [kind_of(f.dataType, text) for f in df.schema.fields]))
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
+def numbered(df: DataFrame, name: str, ordered: bool = False) -> DataFrame:
     """df with a 0-based row number in its physical order, without moving rows.
 
     Rows of files are numbered by file name, then by place in the file, whatever tasks Spark reads them in; rows of other
     DataFrames by partition. One count for each split of a file (or partition) is summed up, and joined by broadcast: it
-    is a row for each task that reads the table.
+    is a row for each task that reads the table. What comes ordered from a sort is written first and numbered as written,
+    since the counts must hold for the very partitions that they are joined to.
     """
+    if ordered:
+        df = snapshot(df).toDF(*df.columns)
     part, split, start = f"{name}_part", f"{name}_split", f"{name}_start"
     number = F.monotonically_increasing_id()
     try:
